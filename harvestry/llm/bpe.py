@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from harvestry.llm import shared
 from harvestry.llm import text as T
 from harvestry.llm.pretokens import PretokenCache
 
@@ -182,7 +183,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 texts = pa.array([decoded[i:j].decode("utf-8", "replace") for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, texts], ["doc_id", "ids", "decoded"])
 
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kept = shared.texts_of(docs, id_col, text_col)
     return kept.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
@@ -208,7 +209,7 @@ def encode_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                     digests.append(pa.array([hashlib.sha256(x if whole else x.decode("utf-8", "replace").encode()).hexdigest() for x in parts], pa.string()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(before), pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kept = shared.texts_of(docs, id_col, text_col)
     return kept.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

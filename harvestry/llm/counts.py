@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harvestry.llm import shared
 from harvestry.llm import text as T
 from harvestry.llm.pretokens import PretokenCache, SPECIAL, library_encoder
 
@@ -121,5 +122,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, entries: in
                     n = lengths(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    kept = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kept = shared.texts_of(docs, id_col, text_col)
     return kept.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.lm import score_held_out
+
+    return score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op2_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm import shared, sst
+
+    at = shared.scratch_dir(spark, "sst")
+    return sst.read_shards(sst.write_shards(_table(spark, sf_dir, "documents"), at, public_tokenizers.path(BYTE_BPE), end_id=2))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.bpe import encode_digests
 
@@ -25,6 +38,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
+    "op2_sst_shards": op2_sst_shards,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_token_counts": op8_token_counts,
 }
