@@ -25,6 +25,12 @@ def op2_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.read_shards(sst.write_shards(_table(spark, sf_dir, "documents"), at, public_tokenizers.path(BYTE_BPE), end_id=2))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.lines import removed_lines
+
+    return removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.bpe import encode_digests
 
@@ -37,11 +43,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.jaccard import link_documents
+
+    return link_documents(_table(spark, sf_dir, "documents"), least=75)
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_sst_shards": op2_sst_shards,
+    "op3_line_dedup": op3_line_dedup,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
     "op8_token_counts": op8_token_counts,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -67,20 +67,20 @@ _BYTE[_SPACE] = 0
 
 
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and the number of words before each text (one entry more).
+    """Hashes of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and the number of words before each text (one entry more), or before each of breaks.
 
     A word never spans texts; long chunks are hashed in pieces cut at word starts.
     """
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets if breaks is None else breaks), np.int64)
     inside = ~_SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < n]
     first[cuts] = inside[cuts]
     starts = np.flatnonzero(first)
-    before = np.searchsorted(starts, offsets)
+    before = np.searchsorted(starts, offsets if breaks is None else breaks)
     if not len(starts):
         return np.zeros(0, np.uint64), before
     hashes, edges = np.empty(len(starts), np.uint64), np.append(starts, n)
