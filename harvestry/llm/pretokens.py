@@ -8,7 +8,7 @@ import numpy as np
 
 from harvestry.llm import text as T
 
-CACHED = 1_000_000
+CACHED = 400_000
 SPECIAL = "<|endoftext|>"
 
 
