@@ -31,18 +31,46 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_lines(_table(spark, sf_dir, "documents"))
 
 
+#: verdict, host and path of the given rules
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.urls import judge
+
+    return judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.bpe import encode_digests
 
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.decontaminate import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.spotsigs import compare_with_next
+
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.jaccard import link_documents
 
@@ -53,8 +81,12 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_sst_shards": op2_sst_shards,
     "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_bpe_encode_decode": op5_bpe_encode_decode,
+    "op6_language_id": op6_language_id,
+    "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_spotsigs": op9_spotsigs,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 

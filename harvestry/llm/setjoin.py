@@ -31,7 +31,7 @@ from harvestry.llm import text as T
 Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
 """Bytes and offsets of texts -> text, part in it, and sorted distinct tokens of each set."""
 
-SLOT_BITS, BLOCKS = 22, 64
+SLOT_BITS, BLOCKS = 22, 16
 HOT = 1 << 17  # postings of a key for each salt
 LARGEST_LIGHT = 32
 PAIRED = np.uint64(0xA0761D6478BD642F)
