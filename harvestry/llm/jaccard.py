@@ -24,17 +24,15 @@ def link_documents(docs: DataFrame, least: int = 75, id_col: str = "doc_id", tex
     links and its own doc_id as component. Rows of one doc_id are rows of their own. Null ids
     count as greater than all others, so a component's id is null only if all of its ids are.
     """
-    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), document_shingles, least, light=True)
+    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), document_shingles, least, light=True, parities=8)
     lists = join.lists()
-    pair = (F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"))
-    pairs = shared.materialise(lists.where(join.alike("l_", "")).select(*pair).distinct(), "pairs")
-    links = join.verified(pairs)
+    links = join.verified(join.first_pairs(lists))
+    labels = components(links)
+    rows = _labelled(lists, labels)
+    links = links.unionByName(join.verified(join.led_pairs(rows.where("label <> l_label"))))
+    labels = components(links)
+    links = links.unionByName(join.verified(join.joined_pairs(_open(join, rows, labels), (F.col("x_label") < F.col("y_label")))))
     labels = components(links)
-    more = shared.materialise(_open_pairs(join, lists, labels).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.take(1):
-        found = join.verified(more)
-        if found.take(1):
-            labels = components(links.unionByName(found))
     sets = join.sets()
     filled = sets.where("n > 0")
     classes = filled.groupBy("set_id").agg(F.min("doc_id").alias("first"))
@@ -45,18 +43,21 @@ def link_documents(docs: DataFrame, least: int = 75, id_col: str = "doc_id", tex
     return linked.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _open_pairs(join: Join, lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a list, none its leader, that lie in different components so far."""
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     rows = lists.join(of("set_id"), "set_id", "left").join(of("l_set_id"), "l_set_id", "left")
-    rows = rows.select("key", "set_id", "n", "pos", F.coalesce("set_id_label", "set_id").alias("label"), F.coalesce("l_set_id_label", "l_set_id").alias("l_label"))
-    rows = shared.materialise(rows, "open")
-    # A list of a leader and one more set is settled; so is one in a single component.
-    open_ = rows.groupBy("key").agg(F.count("*").alias("k"), F.max((F.col("label") != F.col("l_label")).cast("int")).alias("open")).where("k > 1 and open = 1").select("key")
-    entries = rows.drop("l_label").join(open_, "key").dropDuplicates(["key", "set_id"])
-    x, y = (entries.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("set_id", "n", "pos", "label"))) for p in ("x_", "y_"))
-    both = x.join(y, "key").where((F.col("x_set_id") < F.col("y_set_id")) & (F.col("x_label") != F.col("y_label")) & join.alike("x_", "y_"))
-    return both.select(F.col("x_set_id").alias("a"), F.col("y_set_id").alias("b")).distinct()
+    rows = rows.withColumn("label", F.coalesce("set_id_label", "set_id")).withColumn("l_label", F.coalesce("l_set_id_label", "l_set_id"))
+    return shared.materialise(rows.drop("set_id_label", "l_set_id_label"), "open")
+
+
+def _open(join: Join, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, set_id, n, pos, label of the sets, leaders apart, of lists that have several of them and aren't in one component."""
+    some = rows.groupBy("key").agg(F.count("*").alias("k"), F.max((F.col("label") != F.col("l_label")).cast("int")).alias("open")).where("k > 1 and open = 1").select("key")
+    entries = join.entries(rows, some)
+    named = entries.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    named = shared.materialise(named, "open")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return named.join(several, "key")
 
 
 def one_of_each(docs: DataFrame, least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,16 +22,14 @@ def line_flags(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_co
     line number and words stand at the same place, and none of them is later than another. A
     null doc_id comes before all others. Null and empty texts have no lines and no row here.
     """
-    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least, light=False)
+    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least, light=False, parities=2)
     lines = join.sets()
     classes = shared.materialise(lines.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "part")).alias("first")), "classes")
     lists = join.lists()
-    pair = (F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b"))
-    pairs = shared.materialise(lists.where(join.alike("l_", "")).select(*pair).distinct(), "pairs")
-    later = _later(join.verified(pairs), classes)
-    more = shared.materialise(_open_pairs(join, lists, later).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.take(1):
-        later = shared.materialise(later.unionByName(_later(join.verified(more), classes)).distinct(), "later")
+    later = _later(join.verified(join.first_pairs(lists)), classes)
+    rows = _settled(lists, later)
+    later = _all(later, _later(join.verified(join.led_pairs(rows.where("not settled"))), classes))
+    later = _all(later, _later(join.verified(join.joined_pairs(_open(join, rows, later), F.col("x_open"))), classes))
     of_class = classes.join(later.withColumn("later", F.lit(True)), "set_id", "left")
     filled = lines.where("n > 0").join(of_class, "set_id")
     removed = F.coalesce("later", F.lit(False)) | ~F.struct("doc_id", "part").eqNullSafe(F.col("first"))
@@ -47,15 +45,21 @@ def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.materialise(both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("set_id")).distinct(), "later")
 
 
-def _open_pairs(join: Join, lists: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs of a list, none its leader, of which one isn't known to be later than a similar one."""
-    rows = lists.select("key", "set_id", "n", "pos").join(later.withColumn("settled", F.lit(True)), "set_id", "left")
-    rows = shared.materialise(rows.withColumn("settled", F.coalesce("settled", F.lit(False))), "open")
-    open_ = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("settled").alias("settled")).where("k > 1 and not settled").select("key")
-    entries = rows.join(open_, "key").dropDuplicates(["key", "set_id"])
-    x, y = (entries.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("set_id", "n", "pos", "settled"))) for p in ("x_", "y_"))
-    both = x.where("not x_settled").join(y, "key").where((F.col("x_set_id") != F.col("y_set_id")) & join.alike("x_", "y_"))
-    return both.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
+def _all(later: DataFrame, more: DataFrame) -> DataFrame:
+    return shared.materialise(later.unionByName(more).distinct(), "later")
+
+
+def _settled(lists: DataFrame, later: DataFrame) -> DataFrame:
+    """lists with settled: whether the member is known to be later than a similar line."""
+    rows = lists.join(later.withColumn("settled", F.lit(True)), "set_id", "left")
+    return shared.materialise(rows.withColumn("settled", F.coalesce("settled", F.lit(False))), "open")
+
+
+def _open(join: Join, rows: DataFrame, later: DataFrame) -> DataFrame:
+    """key, set_id, n, pos, open of the sets, leaders apart, of lists that have several of them, one of which is open at least."""
+    some = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("settled").alias("settled")).where("k > 1 and not settled").select("key")
+    entries = join.entries(rows, some)
+    return entries.join(later.withColumn("known", F.lit(True)), "set_id", "left").withColumn("open", F.col("known").isNull()).drop("known")
 
 
 def removed_lines(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,8 +10,11 @@ stored. Equal sets (told apart by 64-bit hashes) form one class and take part on
    or more). Sets up to a boundary list pairs of tokens, larger ones tokens.
 3. lists: within a key's postings each set meets the first one only (its leader). Frequent
    keys are split by a salt, and their leaders meet in a second step.
-4. Length and positional filters; then both sets of a pair are fetched and compared.
-5. Pairs of a list that the first round leaves open are joined by key and compared as well.
+4. Length and positional filters, and parities: a few words of bits, each the parity of the
+   tokens that fall on it, bound how many tokens two sets don't share. The sets of pairs that
+   pass are fetched and compared: first each set with its earliest leader, then with the other
+   leaders unless that is settled.
+5. Pairs of a list that are still open are joined by key and compared as well.
 """
 
 from __future__ import annotations
@@ -73,21 +76,36 @@ def class_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tokens, sizes, ids.view(np.int64)
 
 
+def parity(tokens: np.ndarray, sizes: np.ndarray, count: int) -> list[np.ndarray]:
+    """For each set `count` words of 64 bits, each bit the parity of the number of tokens that fall on it."""
+    out, filled = [], np.flatnonzero(sizes)
+    at = (np.cumsum(sizes) - sizes)[filled]
+    place = T.mix(tokens + PAIRED) >> np.uint64(32)
+    word, bit = (place >> np.uint64(6)) % np.uint64(count), np.uint64(1) << (place & np.uint64(63))
+    for k in range(count):
+        bits = np.zeros(len(sizes), np.uint64)
+        if len(filled):
+            bits[filled] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), at)
+        out.append(bits.view(np.int64))
+    return out
+
+
 class Join:
     """Sets of the texts of a frame (doc_id, text, row_id), and the least similarity, least / 100."""
 
-    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool):
-        self.rows, self.split, self.least, self.spark = rows, split, least, rows.sparkSession
+    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool, parities: int):
+        self.rows, self.split, self.least, self.spark, self.parities = rows, split, least, rows.sparkSession, parities
         self.digests = self._digests()
         self.counts = self._rarity()
         self.light = self._boundary() if light else 0
 
     def _digests(self) -> DataFrame:
-        split = self.split
+        split, parities = self.split, self.parities
+        bits = [f"p{k}" for k in range(parities)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, press = np.zeros(1 << SLOT_BITS, np.uint32), zstandard.ZstdCompressor(level=1)
-            names = ["doc_id", "row_id", "part", "set_id", "n", "block", "counts"]
+            names = ["doc_id", "row_id", "part", "set_id", "n", *bits, "block", "counts"]
             for batch in batches:
                 for a, _, data, offsets in T.chunks(batch.column(1)):
                     text, part, sets = split(data, offsets)
@@ -96,13 +114,13 @@ class Join:
                     counts[slots.astype(np.int64)] += n.astype(np.uint32)
                     doc = batch.column(0).take(pa.array(a + text))
                     row = batch.column(2).take(pa.array(a + text))
-                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), *map(pa.array, parity(tokens, sizes, parities)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
             for k, block in enumerate(counts.reshape(BLOCKS, -1)):
                 if block.any():
-                    none = [pa.nulls(1, pa.int64())] * 5
+                    none = [pa.nulls(1, pa.int64())] * (5 + parities)
                     yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int32()), pa.array([press.compress(block.tobytes())], pa.binary())], names)
 
-        return shared.materialise(self.rows.mapInArrow(run, "doc_id long, row_id long, part long, set_id long, n long, block int, counts binary"), "digests")
+        return shared.materialise(self.rows.mapInArrow(run, f"doc_id long, row_id long, part long, set_id long, n long, {', '.join(f'{b} long' for b in bits)}, block int, counts binary"), "digests")
 
     def sets(self) -> DataFrame:
         """doc_id, row_id, part, set_id, n of every set; an empty one's set_id is 0."""
@@ -211,10 +229,10 @@ class Join:
 
     def _lists(self) -> DataFrame:
         rows = shared.materialise(_led(self.postings(), "key", "salt"), "lists") if self._any_hot() else _led(self.postings(), "key", "salt")
-        out = rows.where("set_id <> l_set_id")
+        out = rows.where("set_id <> l_set_id").withColumn("split", F.col("salts") > 1)
         if self._any_hot():
             firsts = rows.where("salts > 1").select("key", "salts", F.lit(0).alias("salt"), *(F.col(f"l_{c}").alias(c) for c in ("doc_id", "part", "set_id", "n", "pos"))).distinct()
-            out = out.unionByName(_led(firsts, "key").where("set_id <> l_set_id"))
+            out = out.unionByName(_led(firsts, "key").where("set_id <> l_set_id").withColumn("split", F.lit(True)))
         return out.drop("salts", "salt")
 
     def _any_hot(self) -> bool:
@@ -226,6 +244,42 @@ class Join:
         most = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
         return (100 * F.least(n, m) >= self.least * F.greatest(n, m)) & ((100 + self.least) * most >= self.least * (n + m))
 
+    def with_parities(self, rows: DataFrame, prefix: str = "") -> DataFrame:
+        """rows with the parities of the sets in the column {prefix}set_id."""
+        known = self.digests.where("block is null and n > 0").groupBy("set_id").agg(*(F.first(f"p{k}").alias(f"{prefix}p{k}") for k in range(self.parities)))
+        return rows.join(known.withColumnRenamed("set_id", f"{prefix}set_id"), f"{prefix}set_id")
+
+    def close(self, a: str, b: str) -> Column:
+        """Whether the parities allow two sets, with prefixes of their columns, to be similar."""
+        apart = sum((F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(self.parities)), F.lit(0))
+        total = F.col(f"{a}n") + F.col(f"{b}n")
+        # n + m - 2 * both tokens aren't shared, and 100 * both >= least * (n + m - both).
+        return (100 + self.least) * apart <= (100 - self.least) * total
+
+    def led_pairs(self, rows: DataFrame) -> DataFrame:
+        """a, b: distinct pairs of leader and member (columns of lists) that the filters let through."""
+        rows = rows.where(self.alike("l_", "")).select("l_set_id", "l_n", "set_id", "n").distinct()
+        rows = self.with_parities(self.with_parities(rows), "l_").where(self.close("l_", ""))
+        return rows.select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b")).distinct()
+
+    def first_pairs(self, lists: DataFrame) -> DataFrame:
+        """As led_pairs, of each set with the earliest of its leaders only."""
+        first = lists.where(self.alike("l_", "")).groupBy("set_id", "n").agg(F.min(F.struct("l_doc_id", "l_part", "l_set_id", "l_n")).alias("l")).select("set_id", "n", "l.l_set_id", "l.l_n")
+        rows = self.with_parities(self.with_parities(first), "l_").where(self.close("l_", ""))
+        return rows.select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b")).distinct()
+
+    def entries(self, rows: DataFrame, open_: DataFrame) -> DataFrame:
+        """key, set_id, n, pos of the sets of open keys, but for leaders, which have met every other set of their lists; those of split keys have not."""
+        leaders = rows.where("split").select("key", *(F.col(f"l_{c}").alias(c) for c in ("set_id", "n", "pos")))
+        return rows.select("key", "set_id", "n", "pos").unionByName(leaders).join(open_, "key").dropDuplicates(["key", "set_id"])
+
+    def joined_pairs(self, entries: DataFrame, open_: Column) -> DataFrame:
+        """a, b: distinct pairs of entries (key, set_id, n, pos, more) of one key for which a condition on their columns, prefixed x_ and y_, holds."""
+        known = self.with_parities(entries)
+        x, y = (known.select("key", *(F.col(c).alias(f"{p}{c}") for c in known.columns if c != "key")) for p in ("x_", "y_"))
+        both = x.join(y, "key").where(open_ & (F.col("x_set_id") != F.col("y_set_id")) & self.alike("x_", "y_") & self.close("x_", "y_"))
+        return both.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs of classes whose sets are similar. pairs: distinct a, b; repeated ones are compared again."""
         pairs = shared.materialise(pairs, "pairs")
