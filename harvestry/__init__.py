@@ -1,0 +1 @@
+"""Analytics of daily market prices as Spark DataFrame operations."""
