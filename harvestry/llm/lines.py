@@ -22,7 +22,7 @@ def line_flags(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_co
     line number and words stand at the same place, and none of them is later than another. A
     null doc_id comes before all others. Null and empty texts have no lines and no row here.
     """
-    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least, light=False, parities=2)
+    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least, earliest=True)
     lines = join.sets()
     classes = shared.materialise(lines.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "part")).alias("first")), "classes")
     lists = join.lists()

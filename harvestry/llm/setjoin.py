@@ -90,18 +90,30 @@ def parity(tokens: np.ndarray, sizes: np.ndarray, count: int) -> list[np.ndarray
     return out
 
 
+def long_parity(sets: list[np.ndarray]) -> list[bytes | None]:
+    """Parities of each set in a power of two of bits, two for each token at least; those of half as many bits are the XOR of both halves."""
+    out: list[bytes | None] = []
+    for s in sets:
+        bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64, np.uint8)
+        np.bitwise_xor.at(bits, (T.mix(s + PAIRED) & np.uint64(len(bits) - 1)).astype(np.int64), 1)
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
 class Join:
     """Sets of the texts of a frame (doc_id, text, row_id), and the least similarity, least / 100."""
 
-    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool, parities: int):
-        self.rows, self.split, self.least, self.spark, self.parities = rows, split, least, rows.sparkSession, parities
+    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool = False, parities: int = 0, earliest: bool = False):
+        """light: small sets list pairs; parities: words of parity bits (0: none); earliest: a list's leader is its first row, not its least class."""
+        self.rows, self.split, self.least, self.spark, self.parities, self.earliest = rows, split, least, rows.sparkSession, parities, earliest
         self.digests = self._digests()
         self.counts = self._rarity()
         self.light = self._boundary() if light else 0
+        self.hot = bool((self.counts.value >= HOT).any())
 
     def _digests(self) -> DataFrame:
         split, parities = self.split, self.parities
-        bits = [f"p{k}" for k in range(parities)]
+        bits = [f"p{k}" for k in range(parities)] + ["long_parity"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts, press = np.zeros(1 << SLOT_BITS, np.uint32), zstandard.ZstdCompressor(level=1)
@@ -114,13 +126,13 @@ class Join:
                     counts[slots.astype(np.int64)] += n.astype(np.uint32)
                     doc = batch.column(0).take(pa.array(a + text))
                     row = batch.column(2).take(pa.array(a + text))
-                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), *map(pa.array, parity(tokens, sizes, parities)), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), *map(pa.array, parity(tokens, sizes, parities)), pa.array(long_parity(sets) if parities else [None] * len(sets), pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
             for k, block in enumerate(counts.reshape(BLOCKS, -1)):
                 if block.any():
-                    none = [pa.nulls(1, pa.int64())] * (5 + parities)
+                    none = [*[pa.nulls(1, pa.int64())] * (5 + parities), pa.nulls(1, pa.binary())]
                     yield pa.RecordBatch.from_arrays([*none, pa.array([k], pa.int32()), pa.array([press.compress(block.tobytes())], pa.binary())], names)
 
-        return shared.materialise(self.rows.mapInArrow(run, f"doc_id long, row_id long, part long, set_id long, n long, {', '.join(f'{b} long' for b in bits)}, block int, counts binary"), "digests")
+        return shared.materialise(self.rows.mapInArrow(run, f"doc_id long, row_id long, part long, set_id long, n long, {''.join(f'{b} long, ' for b in bits[:-1])}long_parity binary, block int, counts binary"), "digests")
 
     def sets(self) -> DataFrame:
         """doc_id, row_id, part, set_id, n of every set; an empty one's set_id is 0."""
@@ -182,8 +194,8 @@ class Join:
         return min(range(LARGEST_LIGHT + 1), key=work)
 
     def postings(self) -> DataFrame:
-        """key, salts (how many parts the key is split in), salt, doc_id, part, set_id, n, pos."""
-        split, least, light, counts = self.split, self.least, self.light, self.counts
+        """key, set_id, n, pos; with `earliest` doc_id and part; if there are frequent keys, salts (how many parts a key is split in) and salt."""
+        split, least, light, counts, earliest, hot = self.split, self.least, self.light, self.counts, self.earliest, self.hot
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -216,27 +228,40 @@ class Join:
                         continue
                     keys, salts, at, pos = (np.concatenate(v) for v in (keys, salts, at, pos))
                     ids_at = ids[at]
-                    salt = (ids_at.view(np.uint64) >> np.uint64(20)) % salts.astype(np.uint64)
-                    doc = batch.column(0).take(pa.array(a + text[at]))
-                    columns = [pa.array(keys.view(np.int64)), pa.array(salts.astype(np.int32)), pa.array(salt.astype(np.int32)), doc, pa.array(part[at].astype(np.int32)), pa.array(ids_at), pa.array(sizes[at].astype(np.int32)), pa.array(pos.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "salts", "salt", "doc_id", "part", "set_id", "n", "pos"])
+                    columns = {"key": pa.array(keys.view(np.int64)), "set_id": pa.array(ids_at), "sizes": pa.array((sizes[at] << 32) + pos)}
+                    if earliest:
+                        columns |= {"doc_id": batch.column(0).take(pa.array(a + text[at])), "part": pa.array(part[at].astype(np.int32))}
+                    if hot:
+                        salt = (ids_at.view(np.uint64) >> np.uint64(20)) % salts.astype(np.uint64)
+                        columns |= {"salts": pa.array(salts.astype(np.int32)), "salt": pa.array(salt.astype(np.int32))}
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        return self.rows.mapInArrow(run, "key long, salts int, salt int, doc_id long, part int, set_id long, n int, pos int")
+        schema = "key long, set_id long, sizes long" + ", doc_id long, part int" * earliest + ", salts int, salt int" * hot
+        return self.rows.mapInArrow(run, schema)
 
     def lists(self) -> DataFrame:
         """Each posting beside the first one of its key and salt, if that is of another set; likewise the first ones of a split key."""
         return shared.materialise(self._lists(), "lists")
 
     def _lists(self) -> DataFrame:
-        rows = shared.materialise(_led(self.postings(), "key", "salt"), "lists") if self._any_hot() else _led(self.postings(), "key", "salt")
-        out = rows.where("set_id <> l_set_id").withColumn("split", F.col("salts") > 1)
-        if self._any_hot():
-            firsts = rows.where("salts > 1").select("key", "salts", F.lit(0).alias("salt"), *(F.col(f"l_{c}").alias(c) for c in ("doc_id", "part", "set_id", "n", "pos"))).distinct()
-            out = out.unionByName(_led(firsts, "key").where("set_id <> l_set_id").withColumn("split", F.lit(True)))
-        return out.drop("salts", "salt")
-
-    def _any_hot(self) -> bool:
-        return bool((self.counts.value >= HOT).any())
+        if not self.hot:
+            return self._led(self.postings(), "key").where("set_id <> l_set_id").withColumn("split", F.lit(False))
+        rows = shared.materialise(self._led(self.postings(), "key", "salt"), "lists")
+        firsts = rows.where("salts > 1").select("key", *(F.col(c).alias(c.removeprefix("l_")) for c in rows.columns if c.startswith("l_"))).distinct()
+        inside = rows.where("set_id <> l_set_id").withColumn("split", F.col("salts") > 1).drop("salts", "salt")
+        return inside.unionByName(self._led(firsts, "key").where("set_id <> l_set_id").withColumn("split", F.lit(True)))
+
+    def _led(self, rows: DataFrame, *by: str) -> DataFrame:
+        """rows beside the first of their group, its columns with the prefix l_; n and pos in place of sizes."""
+        if "sizes" not in rows.columns:
+            rows = rows.withColumn("sizes", F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos"))
+            rows = rows.drop("n", "pos")
+        order = ["doc_id", "part", "sizes"] if self.earliest else ["set_id"]
+        own = ["set_id", "sizes", *(["doc_id", "part"] if self.earliest else [])]
+        led = rows.withColumn("first", F.first(F.struct(*own)).over(Window.partitionBy(*by).orderBy(*order)))
+        led = led.select(*rows.columns, *(F.col(f"first.{c}").alias(f"l_{c}") for c in own))
+        parts = {f"{p}{c}": (F.shiftright(f"{p}sizes", 32) if c == "n" else F.col(f"{p}sizes").bitwiseAND(F.lit((1 << 32) - 1))).cast("int") for p in ("", "l_") for c in ("n", "pos")}
+        return led.withColumns(parts).drop("sizes", "l_sizes")
 
     def alike(self, a: str, b: str) -> Column:
         """Length and positional filters on two postings of a key, with prefixes a and b of their columns."""
@@ -246,6 +271,8 @@ class Join:
 
     def with_parities(self, rows: DataFrame, prefix: str = "") -> DataFrame:
         """rows with the parities of the sets in the column {prefix}set_id."""
+        if not self.parities:
+            return rows
         known = self.digests.where("block is null and n > 0").groupBy("set_id").agg(*(F.first(f"p{k}").alias(f"{prefix}p{k}") for k in range(self.parities)))
         return rows.join(known.withColumnRenamed("set_id", f"{prefix}set_id"), f"{prefix}set_id")
 
@@ -264,7 +291,7 @@ class Join:
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
         """As led_pairs, of each set with the earliest of its leaders only."""
-        first = lists.where(self.alike("l_", "")).groupBy("set_id", "n").agg(F.min(F.struct("l_doc_id", "l_part", "l_set_id", "l_n")).alias("l")).select("set_id", "n", "l.l_set_id", "l.l_n")
+        first = lists.where(self.alike("l_", "")).groupBy("set_id", "n").agg(F.min(F.struct(*(["l_doc_id", "l_part"] if self.earliest else []), "l_set_id", "l_n")).alias("l")).select("set_id", "n", "l.l_set_id", "l.l_n")
         rows = self.with_parities(self.with_parities(first), "l_").where(self.close("l_", ""))
         return rows.select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b")).distinct()
 
@@ -280,9 +307,30 @@ class Join:
         both = x.join(y, "key").where(open_ & (F.col("x_set_id") != F.col("y_set_id")) & self.alike("x_", "y_") & self.close("x_", "y_"))
         return both.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
 
+    def sharper(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that longer parities, of two bits for each token at least, allow to be similar."""
+        if not self.parities:
+            return pairs
+        least = self.least
+        known = self.digests.where("block is null and n > 0").groupBy("set_id").agg(F.first("long_parity").alias("parity"), F.first("n").alias("n"))
+        of = lambda c: known.select(F.col("set_id").alias(c), F.col("parity").alias(f"{c}_parity"), F.col("n").alias(f"{c}_n"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                    x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    while len(x) != len(y):  # the longer one is folded
+                        x, y = (x, y[: len(y) // 2] ^ y[len(y) // 2 :]) if len(x) < len(y) else (x[: len(x) // 2] ^ x[len(x) // 2 :], y)
+                    keep.append((100 + least) * int(np.bitwise_count(x ^ y).sum()) <= (100 - least) * (n + m))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.select("a", "b", "a_parity", "b_parity", "a_n", "b_n").mapInArrow(run, "a long, b long")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs of classes whose sets are similar. pairs: distinct a, b; repeated ones are compared again."""
-        pairs = shared.materialise(pairs, "pairs")
+        pairs = shared.materialise(self.sharper(pairs), "pairs")
         wanted = self._filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         split, least = self.split, self.least
 
@@ -338,11 +386,6 @@ def prefix(n: int, least: int) -> int:
     return n - -(-n * least // 100) + 1
 
 
-def _led(rows: DataFrame, *by: str) -> DataFrame:
-    first = F.first(F.struct("doc_id", "part", "set_id", "n", "pos")).over(Window.partitionBy(*by).orderBy("doc_id", "part", "pos"))
-    return rows.withColumn("first", first).select("*", *(F.col(f"first.{c}").alias(f"l_{c}") for c in ("doc_id", "part", "set_id", "n", "pos"))).drop("first")
-
-
 def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     ids = ids.astype(np.int64).view(np.uint64)
     h = T.mix(ids)
