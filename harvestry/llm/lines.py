@@ -1,19 +1,37 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words, the rare ones first. Prefix, length and positional
-filters find pairs of lines, whose Jaccard similarity is then verified. A line is removed if
-it is similar to an earlier one (by doc_id, then by line number), itself removed or not; a
-line without words stays.
+A line's tokens are its distinct words, the rare ones first. A line is removed if it is
+similar to an earlier one (by doc_id, then by line number), itself removed or not; a line
+without words stays. Equal sets of words form one class and take part once.
+
+1. Each class lists the tokens of its prefix; a token that no other line has is left out.
+2. Lists are sorted by token and read as a stream. In a list of bounded length all pairs meet,
+   in a longer one each class meets the earliest one. Length and positional filters, and parities
+   that bound how many tokens two sets don't share, choose the pairs to verify: for each class
+   a few earlier ones. Classes of pairs that this leaves out are kept, and longer lists.
+3. The chosen pairs are verified, which settles nearly all classes that have an earlier similar one.
+4. Kept classes that are still open meet all earlier kept ones of their lists.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm import shared
+from harvestry.llm import setjoin, shared
+from harvestry.llm import text as T
 from harvestry.llm.setjoin import Join, line_words
 
+MET = 1024  # up to this length all pairs of a list meet in one task
+CHOSEN = 2  # pairs of one class in one list that are verified at first
+SHORT = 48  # up to so many words parities take 64 bits, beyond 128
+ROWS, EDGES, SEEN = 1 << 17, 1 << 21, 1 << 18
+POSTING = ["key", "salt", "set_id", "doc_id", "sizes", "p0", "p1"]
+
 
 def line_flags(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_id (a hash of the text), kept array<boolean>: for each line whether it stays.
@@ -22,14 +40,14 @@ def line_flags(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_co
     line number and words stand at the same place, and none of them is later than another. A
     null doc_id comes before all others. Null and empty texts have no lines and no row here.
     """
-    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least, earliest=True)
+    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), line_words, least)
     lines = join.sets()
     classes = shared.materialise(lines.where("n > 0").groupBy("set_id").agg(F.min(F.struct("doc_id", "part")).alias("first")), "classes")
-    lists = join.lists()
-    later = _later(join.verified(join.first_pairs(lists)), classes)
-    rows = _settled(lists, later)
-    later = _all(later, _later(join.verified(join.led_pairs(rows.where("not settled"))), classes))
-    later = _all(later, _later(join.verified(join.joined_pairs(_open(join, rows, later), F.col("x_open"))), classes))
+    met = shared.materialise(_met(join), "met")
+    later = _later(join.verified(met.where("key is null").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()), classes)
+    rest = shared.materialise(_open_pairs(join, met.where("key is not null"), classes, later), "pairs")
+    if not rest.isEmpty():
+        later = later.unionByName(_later(join.verified(rest), classes)).distinct()
     of_class = classes.join(later.withColumn("later", F.lit(True)), "set_id", "left")
     filled = lines.where("n > 0").join(of_class, "set_id")
     removed = F.coalesce("later", F.lit(False)) | ~F.struct("doc_id", "part").eqNullSafe(F.col("first"))
@@ -45,21 +63,176 @@ def _later(links: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.materialise(both.select(F.when(F.col("a_first") < F.col("b_first"), F.col("b")).otherwise(F.col("a")).alias("set_id")).distinct(), "later")
 
 
-def _all(later: DataFrame, more: DataFrame) -> DataFrame:
-    return shared.materialise(later.unionByName(more).distinct(), "later")
+def _postings(join: Join) -> DataFrame:
+    """key, salt (-1 unless the token is so frequent that its list is split), set_id, doc_id, sizes (n and position), p0, p1 (parities)."""
+    least, counts, hot = join.least, join.counts, setjoin.HOT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes that this task has listed lately
+        for batch in batches:
+            for a, _, data, offsets in T.chunks(batch.column(1)):
+                text, _, tokens, sizes = line_words(data, offsets)
+                ids = setjoin.class_ids(tokens, sizes)
+                _, first = np.unique(ids, return_index=True)
+                keep = np.zeros(len(ids), bool)
+                keep[[i for i, k in zip(first.tolist(), ids[first].tolist(), strict=True) if k not in seen]] = True
+                keep &= sizes > 0
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(ids[keep].tolist())
+                tokens, sizes, ids, text = tokens[np.repeat(keep, sizes)], sizes[keep], ids[keep], text[keep]
+                line = np.repeat(np.arange(len(sizes)), sizes)
+                frequency = counts.value[(tokens & np.uint64((1 << setjoin.SLOT_BITS) - 1)).astype(np.int64)]
+                rank = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                order = _by_rarity(line, frequency, rank)
+                pos = rank  # the k-th place of each line has the k-th rarest token
+                p = sizes - -(-sizes * least // 100) + 1
+                take = np.flatnonzero((pos < p[line]) & (frequency[order] > 1))
+                at, pos, frequency, keys = line[take], pos[take], frequency[order[take]], tokens[order[take]]
+                parts = (frequency // hot + 1).astype(np.uint64)
+                salt = np.where(parts > 1, (ids[at].view(np.uint64) >> np.uint64(20)) % parts, np.uint64((1 << 64) - 1)).view(np.int64)
+                p0, p1 = _parities(tokens, sizes)
+                doc = batch.column(0).take(pa.array(a + text[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[at]), doc, pa.array((sizes[at] << 32) + pos), pa.array(p0[at]), pa.array(p1[at])], POSTING)
+
+    return join.rows.mapInArrow(run, "key long, salt int, set_id long, doc_id long, sizes long, p0 long, p1 long")
+
+
+def _by_rarity(line: np.ndarray, frequency: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by line, then frequency, then rank in the line."""
+    line_bits, rank_bits = (int(x.max(initial=0)).bit_length() for x in (line, rank))
+    if line_bits + 32 + rank_bits > 64:
+        return np.lexsort((rank, frequency, line))
+    packed = (line.astype(np.uint64) << np.uint64(32 + rank_bits)) | (frequency.astype(np.uint64) << np.uint64(rank_bits)) | rank.astype(np.uint64)
+    return np.argsort(packed)
+
+
+def _parities(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities in two words; those of short sets folded into the first one."""
+    if not len(sizes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p0, p1 = setjoin.parity(tokens, sizes, 2)
+    short = sizes <= SHORT
+    return np.where(short, p0 ^ p1, p0), np.where(short, 0, p1)
+
+
+class _Lists:
+    """Postings sorted by key, salt and set_id, of whole lists; finds the pairs to verify and the rows to keep."""
+
+    def __init__(self, columns: dict[str, np.ndarray], least: int, met: int, chosen: int):
+        fresh = np.ones(len(columns["key"]), bool)
+        fresh[1:] = np.any([columns[c][1:] != columns[c][:-1] for c in ("key", "salt", "set_id")], axis=0)
+        self.columns, self.least = {c: x[fresh] for c, x in columns.items()}, least
+        self.chosen = chosen
+        self.n, self.pos = self.columns["sizes"] >> 32, self.columns["sizes"] & 0xFFFFFFFF
+        rows = len(self.n)
+        starts = np.ones(rows, bool)
+        starts[1:] = np.any([self.columns[c][1:] != self.columns[c][:-1] for c in ("key", "salt")], axis=0)
+        self.list = np.cumsum(starts) - 1
+        self.start = np.flatnonzero(starts)
+        self.length = np.diff(np.append(self.start, rows))
+        self.rank = np.arange(rows) - self.start[self.list]
+        self.kept = ((self.length > met) | (self.columns["salt"][self.start] >= 0))[self.list]
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows the filters let through."""
+        n, m, i, j, least = self.n[x], self.n[y], self.pos[x], self.pos[y], self.least
+        most = np.minimum(i, j) + np.minimum(n - i, m - j)
+        ok = np.flatnonzero((100 * np.minimum(n, m) >= least * np.maximum(n, m)) & ((100 + least) * most >= least * (n + m)))
+        x, y, n, m = x[ok], y[ok], n[ok], m[ok]
+        d0, d1 = (self.columns[c][x] ^ self.columns[c][y] for c in ("p0", "p1"))
+        folded = (n <= SHORT) | (m <= SHORT)
+        apart = np.where(folded, np.bitwise_count((d0 ^ d1).view(np.uint64)), np.bitwise_count(d0.view(np.uint64)).astype(np.int64) + np.bitwise_count(d1.view(np.uint64)))
+        return ok[(100 + least) * apart.astype(np.int64) <= (100 - least) * (n + m)]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of classes and of earlier ones, few for each class; marks the rows of the pairs that are left out."""
+        doc = self.columns["doc_id"]
+        held, edges = (np.zeros(0, np.int64), np.zeros(0, np.int64)), []
+        long = self.kept.copy()
+
+        def fewer() -> tuple[np.ndarray, np.ndarray]:
+            x, y = (np.concatenate(v) for v in zip(held, *edges, strict=True))
+            order = np.lexsort((y, doc[y], x))
+            x, y = x[order], y[order]
+            few = np.ones(len(x), bool)
+            few[self.chosen :] = x[self.chosen :] != x[: -self.chosen]
+            self.kept[x[~few]] = self.kept[y[~few]] = True
+            return x[few], y[few]
+
+        def meet(x: np.ndarray, y: np.ndarray) -> int:
+            ok = self.alike(x, y)
+            x, y = x[ok], y[ok]
+            swap = (doc[x] < doc[y]) | ((doc[x] == doc[y]) & (x < y))
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            edges.append((x, y))
+            return len(x)
+
+        earliest = np.lexsort((doc, self.list))[self.start]
+        x = np.flatnonzero(long & (earliest[self.list] != np.arange(len(doc))))
+        more, d, x = meet(x, earliest[self.list[x]]), 1, np.flatnonzero(~long & (self.rank > 0))
+        while len(x):
+            more += meet(x, x - d)
+            if more > EDGES:
+                held, edges, more = fewer(), [], 0
+            d += 1
+            x = x[self.rank[x] >= d]
+        return fewer()
+
+
+def _met(join: Join) -> DataFrame:
+    """set_id, other: classes to verify; and with key, n, pos, p0, p1 the rows that are kept."""
+    least, met, chosen = join.least, MET, CHOSEN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, out = ["set_id", "other", "key", "n", "pos", "p0", "p1"], pa.int64()
+
+        def found(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+            lists = _Lists(columns, least, met, chosen)
+            x, y = lists.pairs()
+            ids = lists.columns["set_id"]
+            pairs = np.unique(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[pa.nulls(len(pairs), out)] * 5], names)
+            kept = np.flatnonzero(lists.kept)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.nulls(len(kept), out), *(pa.array(v[kept]) for v in (lists.columns["key"], lists.n, lists.pos, lists.columns["p0"], lists.columns["p1"]))], names)
 
+        held, n = [], 0
+        for batch in batches:
+            doc = batch.column(POSTING.index("doc_id")).fill_null(-(1 << 63))  # before all others
+            held.append({c: (doc if c == "doc_id" else batch.column(c)).to_numpy() for c in POSTING})
+            n += batch.num_rows
+            if n < ROWS:
+                continue
+            columns = {c: np.concatenate([h[c] for h in held]) for c in POSTING}
+            last = np.flatnonzero((columns["key"] != columns["key"][-1]) | (columns["salt"] != columns["salt"][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from found({c: x[:cut] for c, x in columns.items()})
+            rest = {c: x[cut:] for c, x in columns.items()}
+            fresh = np.ones(len(rest["key"]), bool)
+            fresh[1:] = rest["set_id"][1:] != rest["set_id"][:-1]
+            held, n = [{c: x[fresh] for c, x in rest.items()}], 0
+        if held:
+            yield from found({c: np.concatenate([h[c] for h in held]) for c in POSTING})
 
-def _settled(lists: DataFrame, later: DataFrame) -> DataFrame:
-    """lists with settled: whether the member is known to be later than a similar line."""
-    rows = lists.join(later.withColumn("settled", F.lit(True)), "set_id", "left")
-    return shared.materialise(rows.withColumn("settled", F.coalesce("settled", F.lit(False))), "open")
+    rows = _postings(join).repartition(shared.tasks(join.spark), "key", "salt").sortWithinPartitions("key", "salt", "set_id", "doc_id")
+    return rows.mapInArrow(run, "set_id long, other long, key long, n long, pos long, p0 long, p1 long")
 
 
-def _open(join: Join, rows: DataFrame, later: DataFrame) -> DataFrame:
-    """key, set_id, n, pos, open of the sets, leaders apart, of lists that have several of them, one of which is open at least."""
-    some = rows.groupBy("key").agg(F.count("*").alias("k"), F.min("settled").alias("settled")).where("k > 1 and not settled").select("key")
-    entries = join.entries(rows, some)
-    return entries.join(later.withColumn("known", F.lit(True)), "set_id", "left").withColumn("open", F.col("known").isNull()).drop("known")
+def _open_pairs(join: Join, kept: DataFrame, classes: DataFrame, later: DataFrame) -> DataFrame:
+    """a, b: pairs of a kept class that isn't known to be later than a similar one, and an earlier one of its list."""
+    kept = kept.select("key", "set_id", "n", "pos", "p0", "p1")
+    still = shared.materialise(kept.join(later, "set_id", "left_anti"), "open")
+    placed = kept.join(still.select("key").distinct(), "key", "left_semi").join(classes, "set_id")
+    still = still.join(classes, "set_id")
+    of = lambda rows, p: rows.select("key", *(F.col(c).alias(f"{p}{c}") for c in ("set_id", "n", "pos", "p0", "p1", "first")))
+    both = of(still, "x_").join(of(placed, "y_"), "key")
+    apart = [F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}")) for c in ("p0", "p1")]
+    folded = (F.col("x_n") <= SHORT) | (F.col("y_n") <= SHORT)
+    bits = F.when(folded, F.bit_count(apart[0].bitwiseXOR(apart[1]))).otherwise(F.bit_count(apart[0]) + F.bit_count(apart[1]))
+    close = (100 + join.least) * bits <= (100 - join.least) * (F.col("x_n") + F.col("y_n"))
+    both = both.where((F.col("y_first") < F.col("x_first")) & join.alike("x_", "y_") & close)
+    return both.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from harvestry.llm import shared
 from harvestry.llm import text as T
 
-Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
-"""Bytes and offsets of texts -> text, part in it, and sorted distinct tokens of each set."""
+Split = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+"""Bytes and offsets of texts -> of each set its text and part in it; the sorted distinct tokens of all sets, and each one's number of them."""
 
 SLOT_BITS, BLOCKS = 22, 16
 HOT = 1 << 17  # postings of a key for each salt
@@ -40,17 +40,31 @@ LARGEST_LIGHT = 32
 PAIRED = np.uint64(0xA0761D6478BD642F)
 
 
-def document_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def document_shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One set for each text: its distinct five-word shingles."""
-    n = len(offsets) - 1
-    return np.arange(n), np.zeros(n, np.int64), T.shingles(*T.words(data, offsets))
+    n, sets = len(offsets) - 1, T.shingles(*T.words(data, offsets))
+    return np.arange(n), np.zeros(n, np.int64), np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], np.int64)
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One set for each line: its distinct words. A text that isn't empty has a line more than line feeds."""
     text, part, starts = line_starts(data, offsets)
     hashes, before = T.words(data, offsets, np.append(starts, len(data)))
-    return text, part, [np.unique(hashes[a:b]) for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+    return text, part, *distinct(hashes, np.diff(before))
+
+
+def distinct(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct tokens of each span, and their number."""
+    span = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    bits = np.uint64(max(1, len(sizes).bit_length()))
+    packed = (span << (np.uint64(64) - bits)) | (tokens >> bits)
+    order = np.argsort(packed)
+    packed, found = packed[order], tokens[order]
+    if np.any((packed[1:] == packed[:-1]) & (found[1:] != found[:-1])):  # told apart by the last bits only
+        found = tokens[np.lexsort((tokens, span))]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (span[1:] != span[:-1])
+    return found[new], np.bincount(span[new].astype(np.int64), minlength=len(sizes))
 
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,15 +79,13 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return text, np.arange(len(text)) - first, starts
 
 
-def class_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens, sizes, and a hash of each set (0 for an empty one)."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
-    ids, filled = np.zeros(len(sets), np.uint64), np.flatnonzero(sizes)
+def class_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each set (0 for an empty one)."""
+    ids, filled = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
     if len(filled):
         at = (np.cumsum(sizes) - sizes)[filled]
         ids[filled] = T.mix(np.add.reduceat(T.mix(tokens ^ PAIRED), at) ^ (sizes[filled].astype(np.uint64) * PAIRED))
-    return tokens, sizes, ids.view(np.int64)
+    return ids.view(np.int64)
 
 
 def parity(tokens: np.ndarray, sizes: np.ndarray, count: int) -> list[np.ndarray]:
@@ -90,10 +102,10 @@ def parity(tokens: np.ndarray, sizes: np.ndarray, count: int) -> list[np.ndarray
     return out
 
 
-def long_parity(sets: list[np.ndarray]) -> list[bytes | None]:
+def long_parity(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
     """Parities of each set in a power of two of bits, two for each token at least; those of half as many bits are the XOR of both halves."""
     out: list[bytes | None] = []
-    for s in sets:
+    for s in np.split(tokens, np.cumsum(sizes)[:-1]) if len(sizes) else []:
         bits = np.zeros(max(64, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 64, np.uint8)
         np.bitwise_xor.at(bits, (T.mix(s + PAIRED) & np.uint64(len(bits) - 1)).astype(np.int64), 1)
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -103,9 +115,9 @@ def long_parity(sets: list[np.ndarray]) -> list[bytes | None]:
 class Join:
     """Sets of the texts of a frame (doc_id, text, row_id), and the least similarity, least / 100."""
 
-    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool = False, parities: int = 0, earliest: bool = False):
-        """light: small sets list pairs; parities: words of parity bits (0: none); earliest: a list's leader is its first row, not its least class."""
-        self.rows, self.split, self.least, self.spark, self.parities, self.earliest = rows, split, least, rows.sparkSession, parities, earliest
+    def __init__(self, rows: DataFrame, split: Split, least: int, light: bool = False, parities: int = 0):
+        """light: small sets list pairs; parities: words of parity bits (0: none)."""
+        self.rows, self.split, self.least, self.spark, self.parities = rows, split, least, rows.sparkSession, parities
         self.digests = self._digests()
         self.counts = self._rarity()
         self.light = self._boundary() if light else 0
@@ -120,13 +132,13 @@ class Join:
             names = ["doc_id", "row_id", "part", "set_id", "n", *bits, "block", "counts"]
             for batch in batches:
                 for a, _, data, offsets in T.chunks(batch.column(1)):
-                    text, part, sets = split(data, offsets)
-                    tokens, sizes, ids = class_ids(sets)
+                    text, part, tokens, sizes = split(data, offsets)
+                    ids = class_ids(tokens, sizes)
                     slots, n = np.unique(tokens & np.uint64((1 << SLOT_BITS) - 1), return_counts=True)
                     counts[slots.astype(np.int64)] += n.astype(np.uint32)
                     doc = batch.column(0).take(pa.array(a + text))
                     row = batch.column(2).take(pa.array(a + text))
-                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), *map(pa.array, parity(tokens, sizes, parities)), pa.array(long_parity(sets) if parities else [None] * len(sets), pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([doc, row, pa.array(part), pa.array(ids), pa.array(sizes), *map(pa.array, parity(tokens, sizes, parities)), pa.array(long_parity(tokens, sizes) if parities else [None] * len(sizes), pa.binary()), pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
             for k, block in enumerate(counts.reshape(BLOCKS, -1)):
                 if block.any():
                     none = [*[pa.nulls(1, pa.int64())] * (5 + parities), pa.nulls(1, pa.binary())]
@@ -173,7 +185,8 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for _, _, data, offsets in T.chunks(batch.column(1)):
-                    _, _, sets = split(data, offsets)
+                    _, _, tokens, sizes = split(data, offsets)
+                    sets = np.split(tokens, np.cumsum(sizes)[:-1]) if len(sizes) else []
                     found = [(len(s), float(np.sort(counts.value[(s & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)])[: prefix(len(s), least)].sum())) for s in sets if 2 <= len(s) <= LARGEST_LIGHT * 4 // 3 + 2]
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], ["n", "scan"])
 
@@ -194,14 +207,14 @@ class Join:
         return min(range(LARGEST_LIGHT + 1), key=work)
 
     def postings(self) -> DataFrame:
-        """key, set_id, n, pos; with `earliest` doc_id and part; if there are frequent keys, salts (how many parts a key is split in) and salt."""
-        split, least, light, counts, earliest, hot = self.split, self.least, self.light, self.counts, self.earliest, self.hot
+        """key, set_id, sizes (n and pos); if there are frequent keys, salts (how many parts a key is split in) and salt."""
+        split, least, light, counts, hot = self.split, self.least, self.light, self.counts, self.hot
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, _, data, offsets in T.chunks(batch.column(1)):
-                    text, part, sets = split(data, offsets)
-                    tokens, sizes, ids = class_ids(sets)
+                for _, _, data, offsets in T.chunks(batch.column(1)):
+                    _, _, tokens, sizes = split(data, offsets)
+                    ids = class_ids(tokens, sizes)
                     # Equal sets of a chunk are listed once, for the first of them.
                     _, first = np.unique(ids, return_index=True)
                     frequency = counts.value[(tokens & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)]
@@ -229,14 +242,12 @@ class Join:
                     keys, salts, at, pos = (np.concatenate(v) for v in (keys, salts, at, pos))
                     ids_at = ids[at]
                     columns = {"key": pa.array(keys.view(np.int64)), "set_id": pa.array(ids_at), "sizes": pa.array((sizes[at] << 32) + pos)}
-                    if earliest:
-                        columns |= {"doc_id": batch.column(0).take(pa.array(a + text[at])), "part": pa.array(part[at].astype(np.int32))}
                     if hot:
                         salt = (ids_at.view(np.uint64) >> np.uint64(20)) % salts.astype(np.uint64)
                         columns |= {"salts": pa.array(salts.astype(np.int32)), "salt": pa.array(salt.astype(np.int32))}
                     yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        schema = "key long, set_id long, sizes long" + ", doc_id long, part int" * earliest + ", salts int, salt int" * hot
+        schema = "key long, set_id long, sizes long" + ", salts int, salt int" * hot
         return self.rows.mapInArrow(run, schema)
 
     def lists(self) -> DataFrame:
@@ -256,9 +267,8 @@ class Join:
         if "sizes" not in rows.columns:
             rows = rows.withColumn("sizes", F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos"))
             rows = rows.drop("n", "pos")
-        order = ["doc_id", "part", "sizes"] if self.earliest else ["set_id"]
-        own = ["set_id", "sizes", *(["doc_id", "part"] if self.earliest else [])]
-        led = rows.withColumn("first", F.first(F.struct(*own)).over(Window.partitionBy(*by).orderBy(*order)))
+        own = ["set_id", "sizes"]
+        led = rows.withColumn("first", F.first(F.struct(*own)).over(Window.partitionBy(*by).orderBy("set_id")))
         led = led.select(*rows.columns, *(F.col(f"first.{c}").alias(f"l_{c}") for c in own))
         parts = {f"{p}{c}": (F.shiftright(f"{p}sizes", 32) if c == "n" else F.col(f"{p}sizes").bitwiseAND(F.lit((1 << 32) - 1))).cast("int") for p in ("", "l_") for c in ("n", "pos")}
         return led.withColumns(parts).drop("sizes", "l_sizes")
@@ -291,7 +301,7 @@ class Join:
 
     def first_pairs(self, lists: DataFrame) -> DataFrame:
         """As led_pairs, of each set with the earliest of its leaders only."""
-        first = lists.where(self.alike("l_", "")).groupBy("set_id", "n").agg(F.min(F.struct(*(["l_doc_id", "l_part"] if self.earliest else []), "l_set_id", "l_n")).alias("l")).select("set_id", "n", "l.l_set_id", "l.l_n")
+        first = lists.where(self.alike("l_", "")).groupBy("set_id", "n").agg(F.min(F.struct("l_set_id", "l_n")).alias("l")).select("set_id", "n", "l.l_set_id", "l.l_n")
         rows = self.with_parities(self.with_parities(first), "l_").where(self.close("l_", ""))
         return rows.select(F.least("l_set_id", "set_id").alias("a"), F.greatest("l_set_id", "set_id").alias("b")).distinct()
 
@@ -338,11 +348,10 @@ class Join:
             bloom = wanted.value
             for batch in batches:
                 for _, _, data, offsets in T.chunks(batch.column(1)):
-                    _, _, sets = split(data, offsets)
-                    tokens, sizes, ids = class_ids(sets)
-                    ends = np.cumsum(sizes)
-                    distinct, first = np.unique(ids, return_index=True)
-                    hit = first[_held(bloom, distinct) & (distinct != 0)]
+                    _, _, tokens, sizes = split(data, offsets)
+                    ids, ends = class_ids(tokens, sizes), np.cumsum(sizes)
+                    classes, first = np.unique(ids, return_index=True)
+                    hit = first[_held(bloom, classes) & (classes != 0)]
                     packed = [tokens[ends[i] - sizes[i] : ends[i]].tobytes() for i in hit.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(packed, pa.binary())], ["id", "tokens"])
 
