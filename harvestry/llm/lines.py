@@ -6,7 +6,7 @@ without words stays. Equal sets of words form one class and take part once.
 
 1. Each class lists the tokens of its prefix; a token that no other line has is left out.
 2. Lists are sorted by token and read as a stream. In a list of bounded length all pairs meet,
-   in a longer one each class meets the earliest one. Length and positional filters, and parities
+   in a longer one each class meets a few early ones, which are those least covered so far. Length and positional filters, and parities
    that bound how many tokens two sets don't share, choose the pairs to verify: for each class
    a few earlier ones. Classes of pairs that this leaves out are kept, and longer lists.
 3. The chosen pairs are verified, which settles nearly all classes that have an earlier similar one.
@@ -27,7 +27,8 @@ from harvestry.llm import text as T
 from harvestry.llm.setjoin import Join, line_words
 
 MET = 1024  # up to this length all pairs of a list meet in one task
-CHOSEN = 2  # pairs of one class in one list that are verified at first
+CHOSEN = 2  # pairs of one class in one list that are verified at first; one more in a longer list
+LEADERS = 16  # classes of a longer list that all later ones meet, as long as they lack pairs
 SHORT = 48  # up to so many words parities take 64 bits, beyond 128
 ROWS, EDGES, SEEN = 1 << 17, 1 << 21, 1 << 18
 POSTING = ["key", "salt", "set_id", "doc_id", "sizes", "p0", "p1"]
@@ -145,6 +146,19 @@ class _Lists:
         apart = np.where(folded, np.bitwise_count((d0 ^ d1).view(np.uint64)), np.bitwise_count(d0.view(np.uint64)).astype(np.int64) + np.bitwise_count(d1.view(np.uint64)))
         return ok[(100 + least) * apart.astype(np.int64) <= (100 - least) * (n + m)]
 
+    def _led(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a long list's rows, in order, and leaders."""
+        met, out, at = np.zeros(len(rows), np.int64), [], -1
+        for _ in range(LEADERS):
+            lacking = np.flatnonzero(met[at + 1 :] <= self.chosen) + at + 1
+            if len(lacking) < 2:
+                break
+            at, later = lacking[0], lacking[1:]
+            later = later[self.alike(rows[later], np.full(len(later), rows[at]))]
+            met[later] += 1
+            out.append((rows[later], np.full(len(later), rows[at])))
+        return out
+
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Rows of classes and of earlier ones, few for each class; marks the rows of the pairs that are left out."""
         doc = self.columns["doc_id"]
@@ -156,7 +170,7 @@ class _Lists:
             order = np.lexsort((y, doc[y], x))
             x, y = x[order], y[order]
             few = np.ones(len(x), bool)
-            few[self.chosen :] = x[self.chosen :] != x[: -self.chosen]
+            few[self.chosen :] = (x[self.chosen :] != x[: -self.chosen]) | long[x[self.chosen :]]
             self.kept[x[~few]] = self.kept[y[~few]] = True
             return x[few], y[few]
 
@@ -168,9 +182,9 @@ class _Lists:
             edges.append((x, y))
             return len(x)
 
-        earliest = np.lexsort((doc, self.list))[self.start]
-        x = np.flatnonzero(long & (earliest[self.list] != np.arange(len(doc))))
-        more, d, x = meet(x, earliest[self.list[x]]), 1, np.flatnonzero(~long & (self.rank > 0))
+        for k in np.flatnonzero(long[self.start]).tolist():
+            edges += self._led(self.start[k] + np.lexsort((np.arange(self.length[k]), doc[self.start[k] : self.start[k] + self.length[k]])))
+        more, d, x = 0, 1, np.flatnonzero(~long & (self.rank > 0))
         while len(x):
             more += meet(x, x - d)
             if more > EDGES:
