@@ -170,6 +170,8 @@ def shock(days: DataFrame, events: DataFrame) -> DataFrame:
     decay it is exp(-day / tau) times a running sum, so no day meets all events.
     """
     tau = F.col("decay_days") / 3
+    # No more rows than days, decays and directions, however many events a day has.
+    events = events.groupBy("obs_date", "decay_days", F.signum("direction").alias("direction")).agg(F.sum("magnitude").alias("magnitude"))
     rows = events.select("obs_date", dates.day_number(F.col("obs_date")).alias("dn"), "direction", "magnitude", "decay_days").withColumn("of_grid", F.lit(False))
     kinds = events.select("decay_days").distinct()
     grid = days.select("obs_date", dates.day_number(F.col("obs_date")).alias("dn"), F.lit(True).alias("of_grid")).crossJoin(F.broadcast(kinds))

@@ -36,8 +36,8 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy events from urgent orders of the greatest customers' prices: direction by status, magnitude by price."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 50 = 0")
+    """Policy events from all urgent orders: direction by status, magnitude by price."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
     return orders.select(
         F.col("o_orderdate").cast("date").alias("obs_date"), F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("direction"),
         (F.floor(F.col("o_totalprice")) % 3 + 1).cast("int").alias("magnitude"), F.lit(30).alias("decay_days"), F.col("o_orderkey").alias("event_id"),
