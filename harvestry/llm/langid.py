@@ -3,7 +3,8 @@
 A text's vector counts its letters' n-grams of one to three characters (words are lower-cased
 and have blanks around them), hashed to a fixed number of dimensions, as (1 + log tf) * idf,
 normalised. Each language has several centroids, found by spherical k-means. A text takes the
-language of the centroid with the greatest cosine; one that is far from all is rejected.
+language of the centroid with the greatest cosine; one that is far from all is rejected. What
+is far depends on the text's letters, as short texts of a language have lower cosines than long ones.
 
 Fitting takes a bounded sample of labelled rows for each language (`per_language`), drawn by a
 hash of the identifier; prediction reads whole texts.
@@ -28,16 +29,18 @@ DIMENSIONS = 1 << 12
 UNKNOWN = "und"
 #: Texts of fewer letters are never rejected for their distance: their vectors say too little.
 FEW_LETTERS = 20
+#: Sample rows from which the cosines usual at a length are taken, and the part of them that may lie below (junk among the sample).
+SIMILAR, BELOW = 40, 0.05
 
 
 @dataclass
 class Centroids:
-    """idf of each dimension, unit centroids, and the language and least cosine of each."""
+    """idf of each dimension, unit centroids and the language of each, and each language's least cosines: log of letters, ascending, and the cosine there."""
 
     idf: np.ndarray
     centres: np.ndarray
     languages: list[str]
-    least: np.ndarray
+    least: dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 @lru_cache(1)
@@ -97,15 +100,43 @@ def cluster(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centres
 
 
-def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
+def left_out(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Greatest cosine of each unit row with the centroids as they are without that row; 0 if nothing is left."""
+    cosine = x @ centres.T
+    best = np.argmax(cosine, axis=1)
+    total = np.array([x[best == j].sum(axis=0) for j in range(len(centres))])
+    rest = total[best] - x
+    size = np.linalg.norm(rest, axis=1)
+    own = np.where(size > 1e-3, (x * rest).sum(axis=1) / np.maximum(size, 1e-3), 0)
+    cosine[np.arange(len(x)), best] = own
+    return np.maximum(cosine.max(axis=1), 0)
+
+
+def usual(letters: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of letters, ascending, and a low quantile of the cosines of sample rows of about so many letters; rows of few letters are left out."""
+    order = np.argsort(letters, kind="stable")
+    order = order[letters[order] >= FEW_LETTERS]
+    runs = np.array_split(order, max(1, len(order) // SIMILAR)) if len(order) else []
+    return np.array([np.log(np.median(letters[r])) for r in runs]), np.array([np.quantile(cosine[r], BELOW) for r in runs])
+
+
+def least_cosine(letters: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """Cosine that texts of so many letters need: between two lengths in proportion, and for shorter texts than the first less by the root of the letters' ratio."""
+    if not len(at):
+        return np.zeros(len(letters))
+    log = np.log(np.maximum(letters, 1))
+    return np.interp(log, at, cosine) * np.exp(np.minimum(log - at[0], 0) / 2)
+
+
+def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
     """Learns from at most about per_language rows of each language with letters in their texts; null languages and texts are left out.
 
-    margin: a text is rejected if its cosine is below this part of the least one that the centroid's own sample has.
+    margin: a text is rejected if its cosine is below this part of what the language's own sample rows of similar length have, but for BELOW of them.
     """
     rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}  # a row for each language
     if not counts:
-        return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(0))
+        return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], {})
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
     drawn = F.pmod(F.xxhash64(rows[id_col].cast("long"), F.lit(11)), F.lit(1 << 20)) < share[rows[lang_col].cast("string")] * (1 << 20)
     sample = shared.texts_of(rows.where(drawn), id_col, text_col, rows[lang_col].cast("string").alias("lang"))
@@ -115,9 +146,9 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin
             for a, b, data, offsets in T.chunks(batch.column(1), 1 << 18):
                 x, letters = features(data, offsets)
                 good = np.flatnonzero(letters)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(good)), batch.column(2).slice(a, b - a).take(pa.array(good)), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(good)), batch.column(2).slice(a, b - a).take(pa.array(good)), pa.array(letters[good]), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["doc_id", "lang", "letters", "x"])
 
-    held = shared.materialise(sample.mapInArrow(vectors, "doc_id long, lang string, x binary"), "vectors")
+    held = shared.materialise(sample.mapInArrow(vectors, "doc_id long, lang string, letters long, x binary"), "vectors")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -135,13 +166,12 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin
         group = group.sort_values("doc_id", kind="stable", na_position="first")
         x = unit(np.array([np.frombuffer(v, np.float32) for v in group["x"]]) * idf)
         c = cluster(x, centroids).astype(np.float32)
-        own = x @ c.T
-        best = np.argmax(own, axis=1)
-        least = [float(own[best == j, j].min()) if (best == j).any() else 0.0 for j in range(len(c))]
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [v.tobytes() for v in c], "least": least})
+        at, least = usual(group["letters"].to_numpy(), left_out(x, c))
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [v.tobytes() for v in c], "at": [at.tolist()] * len(c), "least": [least.tolist()] * len(c)})
 
-    found = sorted(held.groupBy("lang").applyInPandas(centre, "lang string, centre binary, least double").collect(), key=lambda r: (r["lang"], r["centre"]))
-    return Centroids(idf, np.array([np.frombuffer(r["centre"], np.float32) for r in found]).reshape(-1, DIMENSIONS), [r["lang"] for r in found], margin * np.array([r["least"] for r in found]))
+    found = sorted(held.groupBy("lang").applyInPandas(centre, "lang string, centre binary, at array<double>, least array<double>").collect(), key=lambda r: (r["lang"], r["centre"]))
+    least = {r["lang"]: (np.array(r["at"]), margin * np.array(r["least"])) for r in found}
+    return Centroids(idf, np.array([np.frombuffer(r["centre"], np.float32) for r in found]).reshape(-1, DIMENSIONS), [r["lang"] for r in found], least)
 
 
 def _judged(model: Centroids, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +186,10 @@ def _judged(model: Centroids, data: np.ndarray, offsets: np.ndarray) -> tuple[np
         cosine = x @ model.centres.T
         best = np.where(none, best, np.argmax(cosine, axis=1))
         score = np.where(none, 0, np.clip(np.max(cosine, axis=1), 0, 1)).astype(np.float64)
-        rejected |= (letters >= FEW_LETTERS) & (score < np.append(model.least, 0)[best])
-    return np.array([*model.languages, UNKNOWN], object)[best], score, rejected
+    language = np.array([*model.languages, UNKNOWN], object)[best]
+    for lang, known in model.least.items():
+        rejected |= (language == lang) & (letters >= FEW_LETTERS) & (score < least_cosine(letters, *known))
+    return language, score, rejected
 
 
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
