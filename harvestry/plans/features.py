@@ -105,8 +105,12 @@ def feat_calendar(spark, sf_dir):
 
 @query(f"WITH {WX}, q0 AS (SELECT DISTINCT user_id AS mandi_id, CAST(d AS DATE) AS obs_date FROM events, (SELECT unnest(generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY)) AS d)), {weather_sql('q0')} {_rounded_sql(X.GROUPS['weather'], 'wf', 'mandi_id, obs_date')}")
 def feat_weather(spark, sf_dir):
-    users = adapters.table(spark, sf_dir, "events").select(F.col("user_id").alias("mandi_id"), F.lit(1).alias("commodity_id")).distinct()
-    grid = users.withColumn("obs_date", F.explode(F.expr("sequence(date'2023-12-25', date'2024-02-05')")))
+    events = adapters.table(spark, sf_dir, "events")
+    users = events.select(F.col("user_id").alias("mandi_id"), F.lit(1).alias("commodity_id")).distinct()
+    # From a week before the first event, so that forecasts ahead are seen, to the last day whose week before has one.
+    span = events.agg(F.min(F.col("ts").cast("date")).alias("first"), F.max(F.col("ts").cast("date")).alias("last"))
+    days = span.select(F.explode(F.sequence(F.date_sub("first", 7), F.date_add("last", 6))).alias("obs_date"))
+    grid = users.crossJoin(F.broadcast(days))
     return _group(X.weather(grid, adapters.weather(spark, sf_dir)), "weather", "mandi_id", "obs_date")
 
 
@@ -131,7 +135,7 @@ FEATURES = f"""{BASE}, {SEASON}, {CROSS}, {FESTIVALS}, {CALENDAR}, {SHOCKS}, {SH
 def _features(spark, sf_dir):
     obs = observed(spark, sf_dir)
     grid = X.grid_of(obs)
-    return obs, grid, X.build_features(obs, grid, adapters.weather(spark, sf_dir), adapters.shocks(spark, sf_dir), adapters.festivals(spark))
+    return obs, grid, X.build_features(obs, grid, adapters.market_weather(spark, sf_dir), adapters.shocks(spark, sf_dir), adapters.festivals(spark))
 
 
 @query(f"WITH {FEATURES} {_rounded_sql(['price_now', *X.NAMES], 'fm', 'as_of, status')}")

@@ -28,13 +28,26 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily weather from events, moved to the tables' years: mandi = user, rain = sum of values, odd days are forecasts."""
+    """Daily weather from events, on the events' own days: mandi = user, rain = sum of values, odd days are forecasts."""
     day = F.col("ts").cast("date")
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("mandi_id"), day.alias("obs_date"), "value")
     daily = events.groupBy("mandi_id", "obs_date").agg(F.sum("value").alias("rainfall_mm"), F.max("value").alias("tmax_c"), F.min("value").alias("tmin_c"))
     return daily.withColumn("is_forecast", F.dayofmonth("obs_date") % 2 == 1)
 
 
+def market_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily weather moved back by the fewest whole leap cycles of four years that bring its last day to the last price's or before.
+
+    Months and days stay, so seasons, forecasts and the distances between days do too.
+    """
+    last_price = table(spark, sf_dir, "lineitem").agg(F.max(F.col("l_shipdate").cast("date")).alias("p"))
+    last_event = table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("date")).alias("e"))
+    later_in_year = (F.date_format("e", "MMdd") > F.date_format("p", "MMdd")).cast("int")
+    years = F.greatest(F.ceil((F.year("e") - F.year("p") + later_in_year) / 4) * 4, F.lit(0))
+    back = last_price.crossJoin(last_event).select(F.coalesce(years, F.lit(0)).cast("int").alias("years"))
+    return weather(spark, sf_dir).crossJoin(F.broadcast(back)).withColumn("obs_date", F.add_months("obs_date", F.col("years") * -12)).drop("years")
+
+
 def shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy events from all urgent orders: direction by status, magnitude by price."""
     orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
