@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harvestry.llm.lm import score_held_out
 
-    return score_held_out(_table(spark, sf_dir, "documents"))
+    return score_held_out(_table(spark, sf_dir, "documents"), order=3)
 
 
 def op2_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
