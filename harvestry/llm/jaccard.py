@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from harvestry.llm import shared
 from harvestry.llm.components import components
-from harvestry.llm.setjoin import Join, document_shingles
+from harvestry.llm.setjoin import DOCUMENTS, Join
 
 
 def link_documents(docs: DataFrame, least: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,14 +24,15 @@ def link_documents(docs: DataFrame, least: int = 75, id_col: str = "doc_id", tex
     links and its own doc_id as component. Rows of one doc_id are rows of their own. Null ids
     count as greater than all others, so a component's id is null only if all of its ids are.
     """
-    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), document_shingles, least, light=True, parities=8)
+    join = Join(shared.texts_of(docs, id_col, text_col, F.xxhash64(docs[text_col].cast("string")).alias("row_id")), DOCUMENTS, least, light=True, parities=8)
+    standing = join.standing()
     lists = join.lists()
-    links = join.verified(join.first_pairs(lists))
+    links = join.verified(join.first_pairs(lists), standing)
     labels = components(links)
     rows = _labelled(lists, labels)
-    links = links.unionByName(join.verified(join.led_pairs(rows.where("label <> l_label"))))
+    links = links.unionByName(join.verified(join.led_pairs(rows.where("label <> l_label")), standing))
     labels = components(links)
-    links = links.unionByName(join.verified(join.joined_pairs(_open(join, rows, labels), (F.col("x_label") < F.col("y_label")))))
+    links = links.unionByName(join.verified(join.joined_pairs(_open(join, rows, labels)), standing))
     labels = components(links)
     sets = join.sets()
     filled = sets.where("n > 0")
