@@ -535,10 +535,12 @@ def in_blocks(x: DataFrame, y: DataFrame, least: int) -> DataFrame:
     """
     sized = lambda rows: rows.withColumn("size_class", F.floor(F.ln("n") / F.ln(F.lit(100 / least))).cast("int"))
     x, y = sized(x), sized(y)
-    blocks = y.groupBy("key", "size_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    y = y.join(blocks, ["key", "size_class"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).drop("blocks")
+    # Few lists are so long that they are cut: theirs alone are looked up.
+    blocks = y.groupBy("key", "size_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    cut = lambda rows: rows.join(blocks, ["key", "size_class"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    y = cut(y).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).drop("blocks")
     x = x.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
-    x = x.join(blocks, ["key", "size_class"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    x = cut(x).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     by = ["key", "size_class", "block"]
     x, y = (rows.select(*by, *(F.col(c).alias(f"{p}{c}") for c in rows.columns if c not in by)) for rows, p in ((x, "x_"), (y, "y_")))
     return x.join(y, by)
