@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
-_ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
-_SELECT = np.zeros((256, 8), np.uint8)  # place of the r-th zero bit of a byte
-for _b in range(256):
-    for _r, _i in enumerate([i for i in range(8) if not _b >> i & 1]):
-        _SELECT[_b, _r] = _i
+HALVES = tuple(np.uint64(w) for w in (32, 16, 8, 4, 2, 1))
+
+
+def _place(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th one bit (from 0) of each 64-bit word, by halving."""
+    place, r = np.zeros(len(words), np.int64), r.astype(np.uint8)
+    for w in HALVES:
+        low = words & ((np.uint64(1) << w) - np.uint64(1))
+        count = np.bitwise_count(low)
+        beyond = r >= count
+        r = r - count * beyond
+        words = np.where(beyond, words >> w, low)
+        place += int(w) * beyond
+    return place
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -46,25 +57,17 @@ class Sequence:
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.n, self.low_bits, self.universe = (int(x) for x in arrays["meta"])
-        self.low, self.high, self.zeros = arrays["low"], arrays["high"], arrays["zeros"]
+        self.low, self.high, self.zeros = arrays["low"], arrays["high"].view(np.uint64), arrays["zeros"]
+
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Ones before each word."""
+        return np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero of the high part, from 0."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        rest = k - self.zeros[word].astype(np.int64)
-        at, out = word << 3, np.zeros(len(k), np.int64)
-        open_ = np.arange(len(k))
-        for _ in range(8):
-            zeros = _ZEROS[self.high[at[open_]]]
-            on = rest[open_] >= zeros
-            done = open_[~on]
-            out[done] = (at[done] << 3) + _SELECT[self.high[at[done]], rest[done]]
-            rest[open_[on]] -= zeros[on]
-            open_ = open_[on]
-            at[open_] += 1
-            if not len(open_):
-                break
-        return out
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
+        return (word << 6) + _place(~self.high[word], k - self.zeros[word].astype(np.int64))
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -78,10 +81,14 @@ class Sequence:
 
     def rank(self, targets: np.ndarray) -> np.ndarray:
         """How many values are smaller than each target (0 to universe): the index of its successor."""
-        targets = targets.astype(np.int64)
+        return self._search(targets.astype(np.int64))[0]
+
+    def _search(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successors, and where the targets' buckets end: before it the values have the target's high part."""
         bucket = targets >> self.low_bits
         begin = np.where(bucket > 0, self._select0(np.maximum(bucket - 1, 0)) - bucket + 1, 0)
-        end = self._select0(bucket) - bucket
+        last = end = self._select0(bucket) - bucket
+        end = end.copy()
         want = targets.astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
         open_ = np.flatnonzero(begin < end)
         while len(open_):  # bisects the bucket's low parts
@@ -90,34 +97,22 @@ class Sequence:
             begin[open_[less]] = middle[less] + 1
             end[open_[~less]] = middle[~less]
             open_ = open_[begin[open_] < end[open_]]
-        return begin
+        return begin, last
 
     def find(self, targets: np.ndarray) -> np.ndarray:
         """The index of each target, or -1."""
         if not self.n:
             return np.full(len(targets), -1)
-        i = self.rank(targets)
-        bucket = targets.astype(np.int64) >> self.low_bits
-        inside = np.minimum(i, self.n - 1)
-        same = (i < self.n) & (self._lows(inside) == targets.astype(np.uint64) & np.uint64((1 << self.low_bits) - 1))
-        # The successor is in the target's bucket if its end lies behind it.
-        same &= self._select0(bucket) - bucket > inside
-        return np.where(same, i, -1)
+        targets = targets.astype(np.int64)
+        i, end = self._search(targets)
+        same = np.flatnonzero(i < end)  # the successor is in the target's bucket
+        same = same[self._lows(i[same]) == targets[same].astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)]
+        out = np.full(len(targets), -1)
+        out[same] = i[same]
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at positions: the i-th one bit, found by bisecting the words' counts of ones."""
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros.astype(np.int64)
-        word = np.searchsorted(ones, i, "right") - 1
-        rest, at = i - ones[word], word << 3
-        out, open_ = np.zeros(len(i), np.int64), np.arange(len(i))
-        for _ in range(8):
-            count = 8 - _ZEROS[self.high[at[open_]]]
-            on = rest[open_] >= count
-            done = open_[~on]
-            out[done] = (at[done] << 3) + _SELECT[255 - self.high[at[done]], rest[done]]
-            rest[open_[on]] -= count[on]
-            open_ = open_[on]
-            at[open_] += 1
-            if not len(open_):
-                break
-        return ((out - i) << self.low_bits) + self._lows(i).astype(np.int64)
+        word = np.searchsorted(self.ones, i, "right") - 1
+        at = (word << 6) + _place(self.high[word], i - self.ones[word])
+        return ((at - i) << self.low_bits) + self._lows(i).astype(np.int64)

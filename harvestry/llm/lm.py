@@ -213,33 +213,30 @@ def opened(key: str, model: Model) -> Opened:
     return held[0]
 
 
-def _pairs(contexts: np.ndarray, words: np.ndarray, find) -> list[np.ndarray]:
-    """find's results for pairs in any order, looked up once for each distinct pair."""
-    both = np.empty(len(contexts), [("c", np.int64), ("w", np.int64)])
-    both["c"], both["w"] = contexts, words
-    order = np.lexsort((words, contexts))
-    c, w = contexts[order], words[order]
-    first = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, bool)
-    slot = np.empty(len(c), np.int64)
-    slot[order] = np.cumsum(first) - 1
-    return [x[slot] for x in find(c[first], w[first])]
-
-
-def histories(ids: np.ndarray, before: np.ndarray, view: Opened, depth: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each order from 2: the context node of each token (-1: unknown)."""
-    context = np.empty(len(ids), np.int64)
-    context[1:] = ids[:-1]
-    context[before[:-1]] = view.end
-    yield 2, context
-    for order in range(3, depth + 1):
+def _pairs(contexts: np.ndarray, words: np.ndarray, level: Successors) -> list[np.ndarray]:
+    """level.find's results for pairs in any order, looked up once for each distinct pair."""
+    keys, slot = np.unique(contexts * level.words + words, return_inverse=True)
+    return [x[slot] for x in level.find(keys // level.words, keys % level.words)]
+
+
+def _following(ids: np.ndarray, before: np.ndarray, first: int) -> np.ndarray:
+    """Of each token what stands at the one before it; `first` at the start of a text."""
+    out = np.empty(len(ids), np.int64)
+    out[1:] = ids[:-1]
+    out[before[:-1]] = first
+    return out
+
+
+def contexts_of(ids: np.ndarray, before: np.ndarray, view: Opened, order: int) -> np.ndarray:
+    """The context node of each token at an order from 2 (-1: unknown)."""
+    context = _following(ids, before, view.end)
+    for level in view.higher[: order - 2]:
         nodes = np.full(len(ids), -1)
         known = np.flatnonzero((context >= 0) & (ids >= 0))
         if len(known):
-            nodes[known] = _pairs(context[known], ids[known], view.higher[order - 3].find)[0]
-        context = np.empty(len(ids), np.int64)
-        context[1:] = nodes[:-1]
-        context[before[:-1]] = -1
-        yield order, context
+            nodes[known] = _pairs(context[known], ids[known], level)[0]
+        context = _following(nodes, before, -1)
+    return context
 
 
 def _token_ids(hashes: np.ndarray, view: Opened) -> tuple[np.ndarray, np.ndarray]:
@@ -325,8 +322,7 @@ def _next_level(train: DataFrame, at: str, model: Model, min_count: int, last: b
                     yield packed()
                 hashes, before = tokens_of(data, offsets)
                 ids, _ = _token_ids(hashes, view)
-                for _, context in histories(ids, before, view, order):
-                    pass
+                context = contexts_of(ids, before, view, order)
                 good = (context >= 0) & (ids >= 0)
                 full = held.add(context[good] * words + ids[good])
         if held.n:
@@ -424,19 +420,21 @@ def score_texts(docs: DataFrame, at: str, model: Model, id_col: str = "doc_id",
                 hashes, before = tokens_of(data, offsets)
                 ids, counts = _token_ids(hashes, view) if view else (np.full(len(hashes), -1), np.zeros(len(hashes), np.int64))
                 p = base = (counts + 0.1) / below
-                for k, context in histories(ids, before, view, model.order) if model.order > 1 else ():
-                    level, lower = view.higher[k - 2], view.higher[k - 3] if k > 2 else view.vocabulary
-                    known = context >= 0
+                context = _following(ids, before, view.end) if view else ids
+                for k, level in enumerate(view.higher if view else ()):
+                    lower = view.higher[k - 1] if k else view.vocabulary
+                    known = np.flatnonzero(context >= 0)
                     distinct, inverse = np.unique(context[known], return_inverse=True)
                     total = np.maximum(lower.counts(distinct), 1)
                     left = (model.discount * np.minimum(level.followers(distinct), total) / total)[inverse]
-                    seen = np.zeros(len(ids))
-                    both = np.flatnonzero(known & (ids >= 0))
+                    seen, nodes = np.zeros(len(ids)), np.full(len(ids), -1)
+                    both = known[ids[known] >= 0]
                     if len(both):
-                        seen[both] = _pairs(context[both], ids[both], level.find)[1]
+                        nodes[both], seen[both] = _pairs(context[both], ids[both], level)
                     p = p.copy()
                     # A context that min_count left without followers keeps all for the lower order.
                     p[known] = np.where(left > 0, seen[known] + left * p[known], p[known])
+                    context = _following(nodes, before, -1)
                 sums = [np.add.reduceat(x, before[:-1]) if b > a else np.zeros(0) for x in (np.log10(base), np.log10(p), (counts > 0).astype(np.int64))]
                 out = [batch.column(0).slice(a, b - a), pa.array(np.diff(before)), pa.array(sums[2]), pa.array(np.full(b - a, model.tokens)), pa.array(sums[0]), pa.array(sums[1])]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
