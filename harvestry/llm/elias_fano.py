@@ -75,9 +75,10 @@ class Sequence:
         at = i * self.low_bits
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         out = self.low[word] >> shift
-        over = shift > 64 - self.low_bits
+        over = np.flatnonzero(shift > 64 - self.low_bits)
         out[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
-        return out & np.uint64((1 << self.low_bits) - 1)
+        out &= np.uint64((1 << self.low_bits) - 1)
+        return out
 
     def rank(self, targets: np.ndarray) -> np.ndarray:
         """How many values are smaller than each target (0 to universe): the index of its successor."""

@@ -42,6 +42,7 @@ END = np.uint64(0x5851F42D4C957F2D)  # stands for the end token's hash
 STEPS, LOWEST = 255, -9.0  # quantised log10 probabilities: 1 is LOWEST, 255 is 0
 HELD = 2_000_000  # n-grams that a task sums up before it hands them on
 RANGE = 2_000_000  # training tokens for each range of keys
+CHUNK = 4 << 20  # bytes of text that are looked up at once: the more, the more n-grams repeat
 
 
 @dataclass
@@ -317,7 +318,7 @@ def _next_level(train: DataFrame, at: str, model: Model, min_count: int, last: b
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["part", "keys", "counts"])
 
         for batch in batches:
-            for _, _, data, offsets in T.chunks(batch.column(1)):
+            for _, _, data, offsets in T.chunks(batch.column(1), CHUNK):
                 if full:
                     yield packed()
                 hashes, before = tokens_of(data, offsets)
@@ -416,7 +417,7 @@ def score_texts(docs: DataFrame, at: str, model: Model, id_col: str = "doc_id",
         view = opened(at, model) if model.words else None
         below = model.tokens + 0.1 * (model.words + 1)
         for batch in batches:
-            for a, b, data, offsets in T.chunks(batch.column(1)):
+            for a, b, data, offsets in T.chunks(batch.column(1), CHUNK):
                 hashes, before = tokens_of(data, offsets)
                 ids, counts = _token_ids(hashes, view) if view else (np.full(len(hashes), -1), np.zeros(len(hashes), np.int64))
                 p = base = (counts + 0.1) / below
