@@ -12,8 +12,12 @@ from harvestry.sources import adapters
 
 GRID = """g AS (SELECT mandi_id, commodity_id, CAST(d AS DATE) AS obs_date FROM (SELECT mandi_id, commodity_id, unnest(generate_series(min(obs_date), max(obs_date), INTERVAL 1 DAY)) AS d FROM observed GROUP BY 1,2) WHERE isodow(d)<6)"""
 FESTIVALS = "fest AS (SELECT * FROM (VALUES " + ",".join(f"(DATE '{d}',{e})" for d, _, e in adapters.FESTIVALS) + ") t(fest_date, effect))"
-SHOCKS = "sh AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus='F' THEN -1 ELSE 1 END AS direction, floor(o_totalprice)::BIGINT%3+1 AS magnitude FROM orders WHERE o_orderpriority='1-URGENT' AND o_orderkey%50=0)"
+#: Summed by day and direction before they meet the grid's days.
+SHOCKS = "sh AS (SELECT CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus='F' THEN -1 ELSE 1 END AS direction, sum(floor(o_totalprice)::BIGINT%3+1) AS magnitude FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1,2)"
 WX = "wx AS (SELECT user_id AS mandi_id, CAST(ts AS DATE) AS obs_date, sum(value) AS rain, max(value) AS tmax, day(CAST(ts AS DATE))%2=1 AS is_forecast FROM events GROUP BY 1,2,5)"
+#: The same, moved back by whole leap cycles onto the price years.
+MARKET_WX = """back AS (SELECT greatest(ceil((year(e)-year(p)+(strftime(e,'%m%d')>strftime(p,'%m%d'))::INT)/4.0)*4,0)::INT AS years FROM (SELECT (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) AS p, (SELECT max(CAST(ts AS DATE)) FROM events) AS e)),
+ wx0 AS (SELECT user_id AS mandi_id, CAST(ts AS DATE) AS d, sum(value) AS rain, max(value) AS tmax, day(CAST(ts AS DATE))%2=1 AS is_forecast FROM events GROUP BY 1,2,5), wx AS (SELECT mandi_id, CAST(d-to_years(years) AS DATE) AS obs_date, rain, tmax, is_forecast FROM wx0, back)"""
 W = "PARTITION BY mandi_id ORDER BY obs_date"
 
 
@@ -126,7 +130,7 @@ def feat_entity_guard(spark, sf_dir):
     return rounded(rows.select("mandi_id", "obs_date", *(F.col(c).cast("double").alias(c) for c in ("mandi_liquidity", "mandi_data_quality", "days_since_observation", "imputed_share_14d"))))
 
 
-FEATURES = f"""{BASE}, {SEASON}, {CROSS}, {FESTIVALS}, {CALENDAR}, {SHOCKS}, {SHOCKED}, {WX}, {weather_sql("own")},
+FEATURES = f"""{BASE}, {SEASON}, {CROSS}, {FESTIVALS}, {CALENDAR}, {SHOCKS}, {SHOCKED}, {MARKET_WX}, {weather_sql("own")},
  fm AS (SELECT own.obs_date AS as_of, CASE WHEN n_real>=60 THEN 'ok' ELSE 'insufficient' END AS status, price_now, {PRICE}, {ARRIVALS}, {CROSSED}, dow, month, week_of_year, days_to_festival, festival_demand_effect, harvest_season_flag,
   rain_7d_sum, rain_30d_sum, rain_forecast_7d, tmax_7d_mean, unseasonal_rain_flag, shock_active_bearish, shock_active_bullish, days_since_shock, own.mandi_id, 1 AS commodity_id, 3 AS perishability_class, mandi_liquidity, mandi_data_quality, days_since_observation, imputed_share_14d
   FROM own LEFT JOIN season USING (mandi_id, obs_date) LEFT JOIN cm USING (mandi_id, obs_date) LEFT JOIN cal USING (obs_date) LEFT JOIN sk USING (obs_date) LEFT JOIN wf USING (mandi_id, obs_date))"""

@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from harvestry.operators.bot import STEPS, advance
-from harvestry.sources.sinks import replace_table, upsert
+from harvestry.operators.bot import advance
+from harvestry.sources.sinks import exists, recover, replace_table, upsert
 
 
 def ingest(source: DataFrame, path: str, checkpoint: str, keys: list[str], weak: str | None = None, order: str | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
@@ -23,9 +23,8 @@ def ingest(source: DataFrame, path: str, checkpoint: str, keys: list[str], weak:
     spark, schema = source.sparkSession, source.schema
 
     def merge(batch: DataFrame, _: int) -> None:
-        jvm = spark._jvm.org.apache.hadoop.fs
-        at = jvm.Path(path)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        recover(spark, path)
+        there = exists(spark, path)
         rows = prepare(batch)
         existing = spark.read.schema(rows.schema).parquet(path) if there else spark.createDataFrame([], rows.schema if rows.schema else schema)
         replace_table(upsert(existing, rows, keys, weak, order), path)
@@ -42,22 +41,30 @@ def windowed(events: DataFrame, time: str = "ts", late: str = "10 minutes", leng
     return events.withWatermark(time, late).groupBy(F.window(time, length, slide), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def conversations(messages: DataFrame, timeout: str = "1 day") -> DataFrame:
-    """phone, turn, step of each message of a stream (phone, turn, text); a conversation idle for a day begins anew."""
+def conversations(messages: DataFrame, timeout: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """phone, turn, step of each message of a stream (phone, turn, text, ts); a conversation idle for the timeout begins anew.
+
+    Idleness is measured by the messages' own times, so that the same messages give the same steps whenever they are run. The watermark
+    follows the latest message by `late`; a message later than that is left out, and a conversation's state goes when it has passed the timeout.
+    """
+    idle = int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        step = state.get[0] if state.exists else 0
-        for batch in batches:
-            out = []
-            for turn, text in batch.sort_values("turn")[["turn", "text"]].itertuples(index=False):
-                step, reply = advance(step, text)
-                out.append((key[0], turn, reply))
-            yield pd.DataFrame(out, columns=["phone", "turn", "step"])
-        state.update((step,))
-        state.setTimeoutDuration(int(pd.Timedelta(timeout).total_seconds() * 1000))
-
-    assert STEPS
-    return messages.groupBy("phone").applyInPandasWithState(run, "phone string, turn long, step string", "cursor int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        cursor, last = state.get if state.exists else (0, None)
+        # All of a batch's messages of one phone, as they may come in several pieces.
+        rows, out = pd.concat(list(batches)).sort_values("turn", kind="stable"), []
+        for turn, text, at in zip(rows["turn"], rows["text"], rows["at"], strict=True):
+            if last is not None and at - last >= idle:
+                cursor = 0
+            cursor, reply = advance(cursor, text)
+            last = at if last is None else max(last, at)
+            out.append((key[0], turn, reply))
+        state.update((cursor, int(last)))
+        state.setTimeoutTimestamp(max(int(last) + idle, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["phone", "turn", "step"])
+
+    timed = messages.withWatermark("ts", late).select("phone", "turn", "text", "ts", F.unix_millis("ts").alias("at"))
+    return timed.groupBy("phone").applyInPandasWithState(run, "phone string, turn long, step string", "cursor int, last long", "append", GroupStateTimeout.EventTimeTimeout)
