@@ -81,7 +81,9 @@ def test_every_boundary_and_split_keys_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows)
     monkeypatch.setattr(setjoin, "HOT", 8)
-    for boundary in (0, 4, 12, 32):
+    monkeypatch.setattr(setjoin, "BLOCK", 3)
+    monkeypatch.setattr(setjoin, "DEALT", 50)
+    for boundary in (0, 4, 32):
         monkeypatch.setattr(setjoin.Join, "_boundary", lambda self, b=boundary: b)
         assert sorted(map(tuple, jaccard.link_documents(docs).collect()), key=str) == want
 
@@ -112,6 +114,8 @@ def test_removed_lines_are_those_of_all_pairs(spark, seed, monkeypatch):
     if seed == 5:  # nearly all lists are kept
         monkeypatch.setattr(lines, "MET", 3)
         monkeypatch.setattr(lines, "CHOSEN", 1)
+        monkeypatch.setattr(setjoin, "BLOCK", 3)
+        monkeypatch.setattr(setjoin, "DEALT", 50)
     texts = corpus(seed, 120)
     rows = list(enumerate(texts)) + [(500, None), (501, ""), (502, "\n\n"), (None, "w1 w2\nw3"), (7, "the same id\nw1 w2"), (7, "the same id\nw1 w2")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row_id string")
@@ -123,6 +127,7 @@ def test_dedup_lines_changes_texts_and_lengths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars, r.kept) for r in lines.dedup_lines(docs).collect()}
     assert got == {1: ("four five", 9, "k"), 2: ("one two three\n\nsix", 18, "k"), 3: ("", 0, "k"), 4: (None, None, "k")}
+    assert {r.doc_id for r in lines.dedup_lines(docs, drop_emptied=True).collect()} == {1, 2, 4}
 
 
 def test_empty_tables(spark):
