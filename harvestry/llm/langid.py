@@ -27,8 +27,6 @@ from harvestry.llm import text as T
 
 DIMENSIONS = 1 << 12
 UNKNOWN = "und"
-#: Texts of fewer letters are never rejected for their distance: their vectors say too little.
-FEW_LETTERS = 20
 #: Sample rows from which the cosines usual at a length are taken, and the part of them that may lie below (junk among the sample).
 SIMILAR, BELOW = 40, 0.05
 
@@ -113,9 +111,8 @@ def left_out(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def usual(letters: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of letters, ascending, and a low quantile of the cosines of sample rows of about so many letters; rows of few letters are left out."""
+    """Log of letters, ascending, and a low quantile of the cosines of sample rows of about so many letters."""
     order = np.argsort(letters, kind="stable")
-    order = order[letters[order] >= FEW_LETTERS]
     runs = np.array_split(order, max(1, len(order) // SIMILAR)) if len(order) else []
     return np.array([np.log(np.median(letters[r])) for r in runs]), np.array([np.quantile(cosine[r], BELOW) for r in runs])
 
@@ -188,7 +185,7 @@ def _judged(model: Centroids, data: np.ndarray, offsets: np.ndarray) -> tuple[np
         score = np.where(none, 0, np.clip(np.max(cosine, axis=1), 0, 1)).astype(np.float64)
     language = np.array([*model.languages, UNKNOWN], object)[best]
     for lang, known in model.least.items():
-        rejected |= (language == lang) & (letters >= FEW_LETTERS) & (score < least_cosine(letters, *known))
+        rejected |= (language == lang) & (score < least_cosine(letters, *known))
     return language, score, rejected
 
 
