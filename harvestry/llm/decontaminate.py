@@ -6,13 +6,14 @@ more than that, so that every such occurrence holds one of the pieces unchanged.
 Aho-Corasick automaton finds all pieces of all items in one pass over a text; around each hit
 Myers' bit-parallel algorithm computes the least edit distance of the whole item.
 
-The items are a benchmark: they go to all tasks, so their size is checked first.
+The items go to all tasks, so their size is checked first: those of a large benchmark are cut
+in parts of bounded size, each searched in a pass of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from harvestry.llm import shared
 from harvestry.llm import text as T
 
-MOST_CHARACTERS = 64_000_000
+MOST_CHARACTERS = 2_000_000  # of the items that a pass searches for; their automaton takes some hundred bytes for each
 BLANK = 32
 
 
@@ -142,12 +143,29 @@ class Matcher:
         yield from ((doc, i, *x[::-1]) for i, x in best.items())
 
 
-def _held(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> Broadcast:
-    size = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
-    if size > MOST_CHARACTERS:
-        raise ValueError(f"the benchmark has {size} characters; tasks take {MOST_CHARACTERS} at most: search it in parts")
-    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("words")).distinct().collect()
-    return docs.sparkSession.sparkContext.broadcast(sorted(((r["item"], r["words"]) for r in items), key=str))
+def _parts(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> list[Broadcast]:
+    """The distinct items in parts of about MOST_CHARACTERS at most; those of one id are in the same part."""
+    items = benchmark.select(benchmark[item_col].cast("long").alias("item"), benchmark[text_col].cast("string").alias("words")).distinct()
+    size = items.agg(F.sum(F.length("words"))).first()[0] or 0
+    parts = max(1, -(-size // MOST_CHARACTERS))
+    found = []
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()
+        found.append(docs.sparkSession.sparkContext.broadcast(sorted(((r["item"], r["words"]) for r in rows), key=str)))
+    return found
+
+
+@lru_cache(1)
+def _known(key: tuple) -> list[Matcher]:
+    return []
+
+
+def _matcher(held: Broadcast, rate: float) -> Matcher:
+    """A worker keeps its last automaton from task to task."""
+    known = _known((hash(tuple(held.value)), len(held.value), rate))
+    if not known:
+        known.append(Matcher(held.value, rate))
+    return known[0]
 
 
 def _hits(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:
@@ -166,30 +184,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: s
     end is the number of characters before the end of the part found. Null and empty texts and items hold and match nothing. Rows with
     null ids are searched like others; repeated rows are found again; repeated items of one id count once, by their best place.
     """
-    held = _held(docs, benchmark, item_col, item_text_col)
+    texts = shared.texts_of(docs, id_col, text_col)
+
+    def found(held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held, rate)
+            for batch in batches:
+                for a, _, data, offsets in T.chunks(batch.column(1)):
+                    hits, ends = _hits(matcher, data, offsets)
+                    doc = batch.column(0).take(pa.array([a + h[0] for h in hits], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([doc, pa.array([h[1] for h in hits], pa.int64()), pa.array(ends, pa.int64()), pa.array([h[3] for h in hits], pa.int32())], ["doc_id", "item_id", "end", "edits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
-        for batch in batches:
-            for a, _, data, offsets in T.chunks(batch.column(1)):
-                hits, ends = _hits(matcher, data, offsets)
-                doc = batch.column(0).take(pa.array([a + h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc, pa.array([h[1] for h in hits], pa.int64()), pa.array(ends, pa.int64()), pa.array([h[3] for h in hits], pa.int32())], ["doc_id", "item_id", "end", "edits"])
+        return texts.mapInArrow(run, "doc_id long, item_id long, end long, edits int")
 
-    return shared.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, end long, edits int")
+    return reduce(DataFrame.unionAll, map(found, _parts(docs, benchmark, item_col, item_text_col)))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents in which no item is found, all columns as they are; in one pass, without a shuffle."""
-    held = _held(docs, benchmark, item_col, item_text_col)
+    """The documents in which no item is found, all columns as they are; in one pass for each part of the items, without a shuffle."""
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(held.value, rate)
-        for batch in batches:
-            for a, b, data, offsets in T.chunks(batch.column(at)):
-                clean = np.ones(b - a, bool)
-                clean[[h[0] for h in _hits(matcher, data, offsets)[0]]] = False
-                yield batch.slice(a, b - a).filter(pa.array(clean))
+    def clean(rows: DataFrame, held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held, rate)
+            for batch in batches:
+                for a, b, data, offsets in T.chunks(batch.column(at)):
+                    keep = np.ones(b - a, bool)
+                    keep[[h[0] for h in _hits(matcher, data, offsets)[0]]] = False
+                    yield batch.slice(a, b - a).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return reduce(clean, _parts(docs, benchmark, item_col, item_text_col), docs)
