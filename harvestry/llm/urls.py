@@ -2,8 +2,9 @@
 
 Given rules decide the urls that they fit. From the urls so decided FP-growth mines
 combinations of url tokens that imply a verdict; those of enough support and confidence decide
-the others, found by an inverted index from each combination's rarest token. DataFrame
-operations only.
+the others, found by an inverted index from each combination's rarest token. Tokens that always
+occur together in the mined urls stand for one another: they are one item, so that long urls
+which repeat don't give all combinations of their tokens. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -49,12 +50,32 @@ def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "row", "left").select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
 
 
+def items_of(labelled: DataFrame, min_support: float) -> DataFrame:
+    """token, item of the tokens that are in min_support of the rows (tokens, verdict, n: how often) or more; tokens that are in the same rows have the same item.
+
+    They are a bounded number: the tokens of a url on average, over min_support, at most.
+    """
+    total = labelled.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    row = F.struct(F.array_sort("tokens"), "verdict")
+    single = labelled.select(F.explode("tokens").alias("token"), "n", F.xxhash64(row).alias("h"), F.xxhash64(row, F.lit(1)).alias("g"))
+    where = single.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    frequent = where.crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * min_support).drop("total")
+    named = frequent.groupBy("n", "k", "h", "g").agg(F.min("token").alias("item"))
+    return frequent.join(named, ["n", "k", "h", "g"]).select("token", "item")
+
+
+def with_items(rows: DataFrame, items: DataFrame, *key: str) -> DataFrame:
+    """key and the distinct items of the rows' tokens (null if there are none)."""
+    found = rows.select(*key, F.explode("tokens").alias("token")).join(F.broadcast(items), "token").groupBy(*key).agg(F.collect_set("item").alias("items"))
+    return rows.join(found, list(key), "left").select(*rows.columns, "items")
+
+
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """antecedent array<string>, verdict, confidence, support of the rules that FP-growth finds in (tokens, verdict).
+    """antecedent array<string>, verdict, confidence, support of the rules that FP-growth finds in (items, verdict).
 
     A rule with a part that is as sure of the same verdict says nothing more, and is left out.
     """
-    marked = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+    marked = labelled.select(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit("verdict:"), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(marked)
     verdicts = F.array(*(F.lit(f"verdict:{v}") for v in VERDICTS))
     found = model.associationRules.where(F.arrays_overlap("consequent", verdicts) & ~F.arrays_overlap("antecedent", verdicts))
@@ -66,13 +87,21 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     return rules.join(implied.select("antecedent", "verdict").distinct(), ["antecedent", "verdict"], "left_anti")
 
 
+def learn(labelled: DataFrame, min_support: float, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """The rules mined from (tokens, verdict, n: how often), and the items that their antecedents are made of (token, item)."""
+    labelled = labelled.groupBy("tokens", "verdict").agg(F.sum("n").alias("n"))
+    items = items_of(labelled, min_support)
+    copies = with_items(labelled, items, "tokens", "verdict").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return mine(copies.select("items", "verdict"), min_support, min_confidence), items
+
+
 def with_mined(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (row, tokens) with the verdict of the surest mined rule all of whose tokens are there: mined_verdict, confidence; null if none."""
-    counts = urls.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    parts = rules.withColumn("token", F.explode("antecedent")).join(counts, "token")
-    rarest = parts.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    postings = urls.select("row", "tokens", F.explode("tokens").alias("token"))
-    fits = postings.join(rarest, "token").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    """urls (row, items) with the verdict of the surest mined rule all of whose items are there: mined_verdict, confidence; null if none."""
+    postings = urls.select("row", "items", F.explode("items").alias("item"))
+    counts = postings.groupBy("item").agg(F.count("*").alias("n"))
+    parts = rules.withColumn("item", F.explode("antecedent")).join(counts, "item")
+    rarest = parts.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    fits = postings.join(rarest, "item").where(F.size(F.array_except("antecedent", "items")) == 0)
     order = F.struct("confidence", F.size("antecedent"), "support", "verdict", F.array_join("antecedent", " "))
     best = fits.groupBy("row").agg(F.max_by(F.struct(F.col("verdict").alias("mined_verdict"), "confidence"), order).alias("best"))
     return urls.join(best, "row", "left").select(*urls.columns, F.col("best.mined_verdict").alias("mined_verdict"), F.col("best.confidence").alias("confidence"))
@@ -92,7 +121,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     given = spark.createDataFrame(rules, "rule_verdict string, rule_host string, rule_path string")
     ruled = with_rules(distinct, given).withColumn("tokens", tokens(F.col("host"), F.col("path")))
     # Mined from labelled pages, each as often as its url occurs.
-    labelled = ruled.where("rule_verdict is not null").select("tokens", F.col("rule_verdict").alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    found = mine(labelled.drop("copy"), min_support, min_confidence)
-    judged = with_mined(ruled, found).select("host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit(default)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"))
+    found, items = learn(ruled.where("rule_verdict is not null").select("tokens", F.col("rule_verdict").alias("verdict"), "n"), min_support, min_confidence)
+    judged = with_mined(with_items(ruled, items, "row"), found).select("host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit(default)).alias("verdict"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"))
     return parts.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "confidence")

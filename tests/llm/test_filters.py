@@ -44,12 +44,43 @@ def test_urls_follow_the_rules(spark):
 
 
 def test_mined_rules_are_those_of_counting(spark):
-    rows = [(["a", "b"], "block")] * 6 + [(["a"], "allow")] * 5 + [(["b", "c"], "block")] * 3 + [(["c"], "allow")] * 4
-    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
-    got = {(tuple(r["antecedent"]), r["verdict"]): round(r["confidence"], 6) for r in urls.mine(labelled, 0.1, 0.9).collect()}
-    assert got == {(("b",), "block"): 1.0}
-    pages = spark.createDataFrame([(1, ["b", "z"]), (2, ["z"]), (3, ["a", "b"])], "row int, tokens array<string>")
-    assert {r["row"]: r["mined_verdict"] for r in urls.with_mined(pages, urls.mine(labelled, 0.1, 0.9)).collect()} == {1: "block", 2: None, 3: "block"}
+    rows = [(["a", "b"], "block", 6), (["a"], "allow", 5), (["b", "c"], "block", 3), (["c"], "allow", 4)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string, n long")
+    rules, items = urls.learn(labelled, 0.1, 0.9)
+    assert {(tuple(r["antecedent"]), r["verdict"]): round(r["confidence"], 6) for r in rules.collect()} == {(("b",), "block"): 1.0}
+    pages = urls.with_items(spark.createDataFrame([(1, ["b", "z"]), (2, ["z"]), (3, ["a", "b"])], "row int, tokens array<string>"), items, "row")
+    assert {r["row"]: r["mined_verdict"] for r in urls.with_mined(pages, rules).collect()} == {1: "block", 2: None, 3: "block"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mined_verdicts_are_those_of_counting_all_combinations(spark, seed):
+    rng = random.Random(seed)
+    draw = lambda: sorted(t for t in "abcdef" if rng.random() < 0.4) + (["g", "h"] if rng.random() < 0.4 else [])  # noqa: E731  g and h always together
+    labelled = [(draw(), rng.choice(urls.VERDICTS), rng.randint(1, 3)) for _ in range(60)]
+    pages = [(i, draw()) for i in range(40)] + [(40, ["g"]), (41, ["h"]), (42, []), (43, ["z"])]
+    total, count = sum(n for *_, n in labelled), {}
+    for tokens, verdict, n in labelled:
+        for k in range(1, 1 << len(tokens)):
+            part = frozenset(t for i, t in enumerate(tokens) if k >> i & 1)
+            for v in (verdict, None):
+                count[part, v] = count.get((part, v), 0) + n
+    sure = {(part, v): n / count[part, None] for (part, v), n in count.items() if v and n >= 0.05 * total and n / count[part, None] >= 0.6}
+    rules, items = urls.learn(spark.createDataFrame(labelled, "tokens array<string>, verdict string, n long"), 0.05, 0.6)
+    rows = urls.with_mined(urls.with_items(spark.createDataFrame(pages, "row int, tokens array<string>"), items, "row"), rules).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        fits = {(v, round(c, 9)) for (part, v), c in sure.items() if part <= set(r["tokens"])}
+        best = {x for x in fits if x[1] == max(c for _, c in fits)}
+        assert (r["mined_verdict"], r["confidence"] and round(r["confidence"], 9)) in (best or {(None, None)}), r
+
+
+def test_long_urls_that_repeat_end(spark):
+    long = "http://www.example.org/en/" + "/".join(f"part{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    other = long.replace("example.org/en/", "other.net/")
+    pages = spark.createDataFrame([(i, long) for i in range(50)] + [(50 + i, f"http://example.org/es/{w}") for i, w in enumerate(["x", "y"] * 10)] + [(99, other)], "page_id long, url string")
+    rows = {r["page_id"]: r for r in urls.judge(pages, URL_RULES).collect()}
+    assert (rows[0]["rule"], rows[0]["verdict"]) == ("org/", "allow")
+    assert (rows[99]["rule"], rows[99]["verdict"], rows[99]["confidence"]) == (None, "allow", 1.0)
 
 
 def test_language_of_held_out_documents(spark):
