@@ -31,7 +31,7 @@ MET = 1024  # up to this length all pairs of a list meet in one task
 CHOSEN = 2  # pairs of one class in one list that are verified at first; one more in a longer list
 LEADERS = 16  # classes of a longer list that all later ones meet, as long as they lack pairs
 SHORT = 48  # up to so many words parities take 64 bits, beyond 128
-EDGES, SEEN = 1 << 21, 1 << 18
+EDGES, SEEN = 1 << 20, 1 << 17
 POSTING = ["list", "set_id", "doc_id", "sizes", "p0", "p1", "key"]
 
 

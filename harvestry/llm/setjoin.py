@@ -40,7 +40,7 @@ HOT = 1 << 17  # postings of a key for each salt
 LARGEST_LIGHT = 32
 PLACE_BITS = 16  # of a posting's order; the bits above are the key
 BLOCK = 4096  # sets of an open list that meet in one task
-DEALT = 1 << 18  # postings that a task deals out at once, and about as many that a bucket has in the end
+DEALT = 1 << 17  # postings that a task deals out at once, and about as many that a bucket has in the end
 PAIRED = np.uint64(0xA0761D6478BD642F)
 
 

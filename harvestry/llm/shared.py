@@ -87,7 +87,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """doc_id long, text string, and more columns, for tasks in Python; bounds the bytes that Spark hands to a task at once."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *more)
 
 
