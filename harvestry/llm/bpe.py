@@ -150,11 +150,14 @@ class BytePairEncoder:
         return T.gather(self.table, self.offset[ids], self.length[ids])
 
 
-@lru_cache(2)
 def encoder(path: str) -> tuple[BytePairEncoder, PretokenCache]:
     """A worker's encoder and its cache of pre-tokens."""
-    bpe = BytePairEncoder(path)
-    return bpe, PretokenCache(bpe.encode, bpe.special_id)
+
+    def make() -> tuple[BytePairEncoder, PretokenCache]:
+        bpe = BytePairEncoder(path)
+        return bpe, PretokenCache(bpe.encode, bpe.special_id)
+
+    return shared.kept(("bpe", path), make)
 
 
 @lru_cache(2)

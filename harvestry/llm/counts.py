@@ -9,7 +9,6 @@ bounded sample of rows (`sample_rows`); it decides speed only, never a count.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +50,8 @@ class LengthTable:
         return out
 
 
-@lru_cache(2)
 def _cache(path: str) -> PretokenCache:
-    return PretokenCache(library_encoder(path), -1)
+    return shared.kept(("counts", path), lambda: PretokenCache(library_encoder(path), -1))
 
 
 def frequent_lengths(docs: DataFrame, tokenizer: str, entries: int, sample_rows: int, text_col: str) -> LengthTable:

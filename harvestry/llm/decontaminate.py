@@ -155,17 +155,9 @@ def _parts(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str)
     return found
 
 
-@lru_cache(1)
-def _known(key: tuple) -> list[Matcher]:
-    return []
-
-
 def _matcher(held: Broadcast, rate: float) -> Matcher:
-    """A worker keeps its last automaton from task to task."""
-    known = _known((hash(tuple(held.value)), len(held.value), rate))
-    if not known:
-        known.append(Matcher(held.value, rate))
-    return known[0]
+    """A worker's automaton."""
+    return shared.kept(("matcher", tuple(held.value), rate), lambda: Matcher(held.value, rate))
 
 
 def _hits(matcher: Matcher, data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[int, int, int, int]], np.ndarray]:

@@ -171,6 +171,7 @@ class Join:
         bits = [f"p{k}" for k in range(parities)] + ["long_parity"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared.forget()
             counts, press = np.zeros(1 << SLOT_BITS, np.uint32), zstandard.ZstdCompressor(level=1)
             names = ["doc_id", "row_id", "part", "parts", "set_id", "n", "place", *bits, "block", "counts"]
             for batch in batches:
@@ -310,6 +311,7 @@ class Join:
         buckets = tasks * max(1, -(-expected // (DEALT * tasks)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared.forget()
             held, rows = [], 0
             for columns in postings(batches):
                 held.append(columns)
@@ -442,6 +444,7 @@ class Join:
         split, least = self.split, self.least
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shared.forget()
             bloom = wanted.value
             for batch in batches:
                 for a, b, data, offsets in T.chunks(batch.column(1)):

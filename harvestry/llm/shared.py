@@ -6,8 +6,10 @@ import atexit
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -85,6 +87,23 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
     return {name: np.frombuffer(data, dtype, n, base + at) for name, (dtype, n, at) in head.items()}
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable) -> object:
+    """What a worker keeps from task to task: the last thing that was asked for, so that operators that follow each other don't add up."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what the worker kept for another operator."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def texts_of(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """doc_id long, text string, and more columns, for tasks in Python; bounds the bytes that Spark hands to a task at once."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -21,7 +21,6 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -181,9 +180,8 @@ class ShardReader:
         return found
 
 
-@lru_cache(2)
 def _cache(path: str, special_id: int) -> PretokenCache:
-    return PretokenCache(library_encoder(path), special_id)
+    return shared.kept(("sst", path, special_id), lambda: PretokenCache(library_encoder(path), special_id))
 
 
 def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int, special_id: int = 50256, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ def _powers_of(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the radix and of its inverse, n of each at least."""
-    return _powers_of(max(20, (int(n) - 1).bit_length()))
+    return _powers_of(max(19, (int(n) - 1).bit_length()))
 
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,7 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = Non
     hashes, edges = np.empty(len(starts), np.uint64), np.append(starts, n)
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + 2 * CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + CHUNK_BYTES // 2, "right")) - 1)
         lo, hi = edges[a], edges[b]
         up, down = powers(hi - lo)
         value = _BYTE[data[lo:hi]]
@@ -198,7 +198,7 @@ def span_hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     hashes, edges = np.empty(len(starts), np.uint64), np.append(starts, len(points))
     a = 0
     while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(edges, edges[a] + 2 * CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + CHUNK_BYTES // 2, "right")) - 1)
         lo, hi = edges[a], edges[b]
         up, down = powers(hi - lo)
         value = digits()[points[lo:hi]]
