@@ -212,3 +212,14 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     want = {frozenset((a, b)) for i, a in enumerate(names) for b in names[:i] if 100 * len(prints[a] & prints[b]) >= 60 * len(prints[a] | prints[b])}
     assert {frozenset((r["a"], r["b"])) for r in pairs.collect()} == want
     assert members.count() == 61
+
+
+def test_a_benchmark_in_parts_gives_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    benchmark = benchmark.unionAll(benchmark.limit(2)).unionAll(spark.createDataFrame([(None, "a null id"), (77, None)], benchmark.schema))
+    whole, clean = sorted(map(str, D.matches(docs, benchmark).collect())), {r["doc_id"] for r in D.clean_documents(docs, benchmark).collect()}
+    monkeypatch.setattr(D, "MOST_CHARACTERS", 1500)
+    assert sorted(map(str, D.matches(docs, benchmark).collect())) == whole
+    assert {r["doc_id"] for r in D.clean_documents(docs, benchmark).collect()} == clean
+    assert whole and len(clean) < docs.count()
