@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestry.config import RISK_LAMBDA, SETTINGS, Decision
+from harvestry.config import GRADE_FACTOR, RISK_LAMBDA, SETTINGS, Decision
 from harvestry.functions.maths import choose, clip
 from harvestry.operators.economics import net_in_hand, spoilage_fraction
 
@@ -20,31 +20,72 @@ def holding_options(lots: DataFrame, cfg: Decision = SETTINGS.decision) -> DataF
     return lots.withColumn("constraints", names).withColumn("days", F.explode(F.when(F.size(fresh) > 0, fresh).otherwise(fallback)))
 
 
-def grid(lots: DataFrame, mandis: DataFrame, forecasts: DataFrame, cfg: Decision = SETTINGS.decision, exposed: bool = False, top: int = 5) -> DataFrame:
-    """Every candidate of every lot: fraction, days, now_mandi, later_mandi, e_net, downside, score.
+def options(mandis: DataFrame, forecasts: DataFrame, cfg: Decision = SETTINGS.decision, exposed: bool = False) -> DataFrame:
+    """A row for each risk, small (load), fraction and days: the markets that can be best for some lot, today's and the later ones, and the number of all pairs.
 
-    mandis: mandi_id, distance_km, price_now, fees; the `top` nearest count, so a lot has a bounded number of candidates.
-    forecasts: mandi_id, days, p10, p50, p90. Hard rules drop candidates before they are scored: small loads go no further
-    than near_km; wide bands and fresh bearish shocks (column shock_now of lots) set a least fraction to sell now.
-    exposed: weights the risk by the share that is held.
+    For a lot, a market's net is quantity x unit value - trucks x cost of the way, whatever the grade. So one that is no nearer
+    than another and pays no more for a unit is never better, and goes; of equals the least id stays. That leaves few of any number of markets.
     """
-    near = mandis.orderBy("distance_km", "mandi_id").limit(top)
-    now = near.select(F.col("mandi_id").alias("now_mandi"), F.col("distance_km").alias("now_km"), "price_now", "commission_pct", "cess_pct", "other_pct")
-    later = near.join(forecasts, "mandi_id").select(F.col("mandi_id").alias("later_mandi"), F.col("distance_km").alias("later_km"), "days", "p10", "p50", "p90")
-    rows = holding_options(lots, cfg).join(F.broadcast(later), "days").crossJoin(F.broadcast(now)).withColumn("fraction", F.explode(F.array(*map(F.lit, cfg.sell_fractions))))
-    small = F.col("qty") < cfg.viable_load * SETTINGS.costs.truck_qtl
-    rows = rows.where(~small | ((F.col("now_km") <= cfg.near_km) & (F.col("later_km") <= cfg.near_km)))
+    kept = 1 - (F.col("commission_pct") + F.col("cess_pct") + F.col("other_pct")) / 100
+    sizes = F.explode(F.array(F.lit(False), F.lit(True))).alias("small")
+    fractions = F.explode(F.array(*map(F.lit, cfg.sell_fractions))).alias("fraction")
+    market = F.struct("mandi_id", "distance_km", "price_now", "commission_pct", "cess_pct", "other_pct", "unit")
+    allowed = ~F.col("small") | (F.col("distance_km") <= cfg.near_km)
+
+    def best_of(rows: DataFrame, keys: list[str], idle: Column, entry: Column, name: str) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.when(idle, 0.0).otherwise(F.col("distance_km")), F.when(idle, 0.0).otherwise(-F.col("unit")), "mandi_id")
+        nearer = F.max(F.when(idle, 0.0).otherwise(F.col("unit"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        kept = F.when(nearer.isNull() | (~idle & (F.col("unit") > nearer)), entry)
+        return rows.withColumn("entry", kept).groupBy(*keys).agg(F.collect_list("entry").alias(name), F.count("*").alias(f"n_{name}"))
+
+    today = mandis.select("*", sizes).select("*", fractions).where(allowed).withColumn("unit", F.col("price_now") * kept)
+    now = best_of(today, ["small", "fraction"], F.col("fraction") == 0, market, "now")
+    risks = F.explode(F.create_map(*(F.lit(x) for pair in RISK_LAMBDA.items() for x in pair))).alias("risk", "penalty")
+    held = (1 - F.col("fraction")) if exposed else F.lit(1.0)
     band = (F.col("p90") - F.col("p10")) / F.col("p50")
-    least = F.greatest(F.when(band > cfg.wide_band, cfg.floor_fraction).otherwise(0.0), F.when(F.col("shock_now"), 1.0).otherwise(0.0))
-    rows = rows.where(F.col("fraction") >= least).withColumn("now_qty", F.col("qty") * F.col("fraction")).withColumn("later_qty", F.col("qty") - F.col("now_qty")).withColumn("zero", F.lit(0))
-    rows = net_in_hand(rows, "price_now", "now_qty", "zero", "now_km", prefix="now_")
+    later = mandis.join(forecasts, "mandi_id").where(F.col("days").isin(_days(cfg))).select("*", sizes).select("*", fractions).select("*", risks)
+    later = later.where(allowed & (F.col("fraction") >= F.when(band > cfg.wide_band, cfg.floor_fraction).otherwise(0.0)))
+    share = kept - SETTINGS.costs.interest / 365 * F.col("days")
+    later = later.withColumn("unit", share * (F.col("p50") - F.col("penalty") * held * F.greatest(F.lit(0.0), F.col("p50") - F.col("p10"))))
+    then = best_of(later, ["risk", "small", "fraction", "days"], F.col("fraction") == 1, F.struct(market.alias("m"), "p10", "p50", "p90", band.alias("band")), "later")
+    return then.join(now, ["small", "fraction"]).withColumn("candidates", F.col("n_now") * F.col("n_later"))
+
+
+def _days(cfg: Decision) -> list[int]:
+    return sorted({*cfg.hold_days, max(1, min(3, cfg.max_hold_days))})
+
+
+def grid(lots: DataFrame, mandis: DataFrame, forecasts: DataFrame, cfg: Decision = SETTINGS.decision, exposed: bool = False) -> DataFrame:
+    """For every lot, fraction and days the best of all pairs of markets: now_mandi, later_mandi, e_net, downside, score, and candidates, their number.
+
+    mandis: mandi_id, distance_km, price_now, fees. forecasts: mandi_id, days, p10, p50, p90. Each sale pays the fees of its own
+    market. The score is a part of today's market and a part of the later one, so each is chosen by itself (see `options`); Spark
+    broadcasts the options if they are small. Hard rules: small loads go no further than near_km; wide bands and fresh bearish
+    shocks (column shock_now of lots) set a least fraction to sell now. exposed: weights the risk by the share that is held.
+    """
+    small = F.col("qty") < cfg.viable_load * SETTINGS.costs.truck_qtl
+    rows = holding_options(lots, cfg).withColumn("small", small).join(options(mandis, forecasts, cfg, exposed), ["risk", "small", "days"])
+    rows = rows.where(~F.col("shock_now") | (F.col("fraction") >= 1.0))
+    rows = rows.withColumn("now_qty", F.col("qty") * F.col("fraction")).withColumn("later_qty", F.col("qty") - F.col("now_qty")).withColumn("zero", F.lit(0)).withColumn("factor", choose(F.col("grade"), GRADE_FACTOR))
+    rows = rows.withColumn("left", F.col("later_qty") * (1 - spoilage_fraction(F.col("days"), F.col("storage"))))
+
+    def best(places: Column, market, left: Column) -> Column:
+        handling = SETTINGS.costs.hamali + SETTINGS.costs.weighing + SETTINGS.costs.packing
+        trucks = F.ceil(left / SETTINGS.costs.truck_qtl) * SETTINGS.costs.per_km
+        scored = F.transform(places, lambda x: F.struct((left * (market(x)["unit"] * F.col("factor") - handling) - trucks * market(x)["distance_km"]).alias("s"), (-market(x)["mandi_id"]).alias("i"), x.alias("x")))
+        return F.array_max(F.transform(scored, lambda y: F.struct(F.when(left > 0, y["s"]).otherwise(0.0).alias("s"), y["i"].alias("i"), y["x"].alias("x"))))["x"]
+
+    rows = rows.withColumn("a", best(F.col("now"), lambda x: x, F.col("now_qty"))).withColumn("b", best(F.col("later"), lambda x: x["m"], F.col("left")))
+    fees = ("commission_pct", "cess_pct", "other_pct")
+    rows = rows.withColumns({"now_mandi": F.col("a.mandi_id"), "now_km": F.col("a.distance_km"), "price_now": F.col("a.price_now"), "later_mandi": F.col("b.m.mandi_id"), "later_km": F.col("b.m.distance_km"), **{q: F.col(f"b.{q}") for q in ("p10", "p50", "p90")}})
+    rows = net_in_hand(rows.withColumns({c: F.col(f"a.{c}") for c in fees}), "price_now", "now_qty", "zero", "now_km", prefix="now_").withColumns({c: F.col(f"b.m.{c}") for c in fees})
     for q in ("p10", "p50"):
         rows = net_in_hand(rows, q, "later_qty", "days", "later_km", prefix=f"{q}_")
     paid = lambda q, c: F.when(F.col(q) > 0, F.col(c)).otherwise(0.0)
     rows = rows.withColumn("e_net", paid("now_qty", "now_net_total") + paid("later_qty", "p50_net_total")).withColumn("downside", F.greatest(F.lit(0.0), paid("later_qty", "p50_net_total") - paid("later_qty", "p10_net_total")))
     risk = choose(F.col("risk"), RISK_LAMBDA) * F.col("downside") * (F.col("later_qty") / F.col("qty") if exposed else F.lit(1.0))
-    names = F.concat("constraints", F.array_compact(F.array(F.when(small, "min_viable_load"), F.when(band > cfg.wide_band, "confidence_floor"), F.when(F.col("shock_now"), "shock_override"))))
-    return rows.withColumn("score", F.col("e_net") - risk).withColumn("constraints", names).select("lot_id", "qty", "grade", "storage", "fraction", "days", "now_mandi", "later_mandi", "p10", "p50", "p90", "e_net", "downside", "score", "constraints")
+    names = F.concat("constraints", F.array_compact(F.array(F.when(small, "min_viable_load"), F.when(F.col("b.band") > cfg.wide_band, "confidence_floor"), F.when(F.col("shock_now"), "shock_override"))))
+    return rows.withColumn("score", F.col("e_net") - risk).withColumn("constraints", names).select("lot_id", "qty", "grade", "storage", "fraction", "days", "now_mandi", "later_mandi", "p10", "p50", "p90", "e_net", "downside", "score", "constraints", "candidates")
 
 
 def confidence(p10: Column, p50: Column, p90: Column, quality: Column, hits: Column, cfg: Decision = SETTINGS.decision) -> Column:
@@ -62,8 +103,8 @@ def baseline(lots: DataFrame, mandis: DataFrame) -> DataFrame:
 def recommend(lots: DataFrame, mandis: DataFrame, forecasts: DataFrame, cfg: Decision = SETTINGS.decision, exposed: bool = False) -> DataFrame:
     """The best candidate of each lot, its action, gain, confidence and the number of candidates. Ties: the least fraction, days and ids."""
     found = grid(lots, mandis, forecasts, cfg, exposed)
-    first = F.struct(-F.col("score"), "fraction", "days", "now_mandi", "later_mandi")
-    best = found.groupBy("lot_id").agg(F.min_by(F.struct(*(c for c in found.columns if c != "lot_id")), first).alias("b"), F.count("*").alias("considered")).select("lot_id", "b.*", "considered")
+    first = F.struct((-F.col("score")).alias("worse"), "fraction", "days", "now_mandi", "later_mandi")
+    best = found.groupBy("lot_id").agg(F.min_by(F.struct(*(c for c in found.columns if c != "lot_id")), first).alias("b"), F.sum("candidates").alias("considered")).select("lot_id", "b.*", "considered")
     action = F.when(F.col("fraction") == 0, "hold").when(F.col("fraction") == 1, "sell_now").otherwise("split")
     out = best.join(baseline(lots, mandis), "lot_id").withColumn("action", action)
     gain = F.col("e_net") - F.col("baseline_net")

@@ -88,25 +88,27 @@ def forecast_fan(spark, sf_dir):
     return rounded(rows.select("mandi_id", F.col("days").cast("long").alias("days"), "p10", "p50", "p90"))
 
 
-GRIDS = f"""{LOTS}, near AS (SELECT * FROM m ORDER BY distance_km, mandi_id LIMIT 5),
- hd AS (SELECT lots.*, d AS days FROM lots, (VALUES (3),(7),(15)) t(d) WHERE {SPOIL.format(s="storage", d="d")}<=0.15),
- cand AS (SELECT hd.lot_id, qty, grade, storage, risk, hd.days, fr AS fraction, a.mandi_id AS now_mandi, b.mandi_id AS later_mandi, f.p10, f.p50, f.p90,
-  CASE WHEN fr>0 THEN {net("a.price_now", "(qty*fr)", "0", "a.distance_km", "grade", "storage").replace("commission_pct", "a.commission_pct").replace("cess_pct", "a.cess_pct").replace("other_pct", "a.other_pct")} ELSE 0 END AS now_net,
-  CASE WHEN fr<1 THEN {net("f.p50", "(qty-qty*fr)", "hd.days", "b.distance_km", "grade", "storage").replace("commission_pct", "a.commission_pct").replace("cess_pct", "a.cess_pct").replace("other_pct", "a.other_pct")} ELSE 0 END AS later_net,
-  CASE WHEN fr<1 THEN {net("f.p10", "(qty-qty*fr)", "hd.days", "b.distance_km", "grade", "storage").replace("commission_pct", "a.commission_pct").replace("cess_pct", "a.cess_pct").replace("other_pct", "a.other_pct")} ELSE 0 END AS low_net
-  FROM hd JOIN fan f ON f.days=hd.days JOIN near b ON b.mandi_id=f.mandi_id, near a, (VALUES (0.0::DOUBLE),(0.25),(0.5),(0.75),(1.0)) v(fr)
-  WHERE (NOT qty<22.5 OR (a.distance_km<=40 AND b.distance_km<=40)) AND fr>=greatest(CASE WHEN (f.p90-f.p10)/f.p50>0.35 THEN 0.5 ELSE 0 END, CASE WHEN shock_now THEN 1.0 ELSE 0 END)),
- scored AS (SELECT *, now_net+later_net AS e_net, now_net+later_net-(CASE risk WHEN 'cautious' THEN 0.8 WHEN 'balanced' THEN 0.45 ELSE 0.2 END)*greatest(0,later_net-low_net) AS score FROM cand)"""
-
-
-@query(f"WITH {DAILY}, {MANDIS}, {FAN}, {GRIDS} SELECT lot_id, count(*) AS considered, {r('max(score)', 2)} AS best_score, {r('min(score)', 2)} AS worst_score FROM scored GROUP BY 1")
+LATER = net("{p}", "(qty-qty*fr)", "d", "distance_km", "grade", "storage")
+LAMBDA = "(CASE risk WHEN 'cautious' THEN 0.8 WHEN 'balanced' THEN 0.45 ELSE 0.2 END)"
+GRIDS = f"""{LOTS}, fr AS (SELECT * FROM (VALUES (0.0::DOUBLE),(0.25),(0.5),(0.75),(1.0)) v(fr)),
+ nows AS (SELECT lot_id, fr, count(*) AS n, arg_min({{'v': v, 'm': mandi_id}}, {{'v': -v, 'm': mandi_id}}) AS a FROM (SELECT lot_id, fr, mandi_id, CASE WHEN fr>0 THEN {net("price_now", "(qty*fr)", "0", "distance_km", "grade", "storage")} ELSE 0 END AS v
+  FROM lots, fr, m WHERE (qty>=22.5 OR distance_km<=40) AND (fr=1 OR NOT shock_now)) GROUP BY 1,2),
+ laters AS (SELECT lot_id, fr, d, count(*) AS n, arg_min({{'v': v, 's': s, 'm': mandi_id, 'a': p10, 'b': p50, 'c': p90}}, {{'s': -s, 'm': mandi_id}}) AS b FROM (SELECT *, v-{LAMBDA}*greatest(0,v-low) AS s FROM (SELECT lot_id, fr, d, risk, mandi_id, p10, p50, p90,
+  CASE WHEN fr<1 THEN {LATER.format(p="p50")} ELSE 0 END AS v, CASE WHEN fr<1 THEN {LATER.format(p="p10")} ELSE 0 END AS low
+  FROM lots, fr, (VALUES (3),(7),(15)) t(d), m JOIN fan USING (mandi_id) WHERE fan.days=d AND {SPOIL.format(s="storage", d="d")}<=0.15 AND (qty>=22.5 OR distance_km<=40)
+   AND fr>=greatest(CASE WHEN (p90-p10)/p50>0.35 THEN 0.5 ELSE 0 END, CASE WHEN shock_now THEN 1.0 ELSE 0 END))) GROUP BY 1,2,3),
+ scored AS (SELECT lot_id, fr AS fraction, d AS days, nows.n*laters.n AS candidates, a.m AS now_mandi, b.m AS later_mandi, b.a AS p10, b.b AS p50, b.c AS p90, a.v+b.v AS e_net, a.v+b.s AS score FROM nows JOIN laters USING (lot_id, fr))"""
+
+
+@query(f"WITH {DAILY}, {MANDIS}, {FAN}, {GRIDS} SELECT lot_id, fraction, days, candidates, {r('score', 2)} AS best_score FROM scored")
 def strategy_grid(spark, sf_dir):
+    """The best pair of all markets for each lot, share sold now and days."""
     m = _mandis(spark, sf_dir)
     found = decision.grid(_lots(spark, sf_dir), m, evaluate.forecast_fan(m.select("mandi_id", "price_now")))
-    return rounded(found.groupBy("lot_id").agg(F.count("*").alias("considered"), F.max("score").alias("best_score"), F.min("score").alias("worst_score")), 2)
+    return rounded(found.select("lot_id", "fraction", "days", "candidates", F.col("score").alias("best_score")), 2, "best_score")
 
 
-@query(f"""WITH {DAILY}, {MANDIS}, {FAN}, {GRIDS}, best AS (SELECT lot_id, arg_min({{'e': e_net, 'f': fraction, 'a': p10, 'b': p50, 'c': p90}}, {{'s': -score, 'f': fraction, 'd': days, 'n': now_mandi, 'l': later_mandi}}) AS z, count(*) AS considered FROM scored GROUP BY 1),
+@query(f"""WITH {DAILY}, {MANDIS}, {FAN}, {GRIDS}, best AS (SELECT lot_id, arg_min({{'e': e_net, 'f': fraction, 'a': p10, 'b': p50, 'c': p90}}, {{'s': -score, 'f': fraction, 'd': days, 'n': now_mandi, 'l': later_mandi}}) AS z, sum(candidates)::BIGINT AS considered FROM scored GROUP BY 1),
  nearest AS (SELECT * FROM m ORDER BY distance_km, mandi_id LIMIT 1), base AS (SELECT lot_id, {net("price_now", "qty", "0", "distance_km", "grade", "storage")} AS baseline_net FROM lots, nearest)
 SELECT lot_id, considered, CASE WHEN z.f=0 THEN 'hold' WHEN z.f=1 THEN 'sell_now' ELSE 'split' END AS action, {r("z.e", 2)} AS e_net, {r("baseline_net", 2)} AS baseline_net, {r("z.e-baseline_net", 2)} AS expected_gain,
  {r("0.5*least(greatest(1-(z.c-z.a)/(2*z.b)/0.3,0),1)+0.2*0.94+0.3*0.79")} AS confidence FROM best JOIN base USING (lot_id)""")
