@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
+from pathlib import Path
 from types import MappingProxyType as Fixed
 
+from harvestry.errors import ConfigError
+
 # Thresholds, factors and fees.
 HORIZONS = (1, 3, 7, 15)
 QUANTILES = Fixed({"p10": 0.10, "p50": 0.50, "p90": 0.90})
@@ -95,3 +100,47 @@ class Settings:
 
 
 SETTINGS = Settings()
+
+
+def _like(value, default, name: str):
+    """A setting's value in the type of its default."""
+    if isinstance(default, tuple) and isinstance(value, (list, tuple)) and (not default or all(isinstance(v, (int, float)) for v in value)):
+        return tuple(value)
+    if isinstance(default, (int, float)) and isinstance(value, (int, float)) and not isinstance(value, bool) and (isinstance(default, float) or value == int(value)):
+        return type(default)(value)
+    raise ConfigError(f"{name}: {value!r} isn't a value like {default!r}")
+
+
+def load(folder: str | None = None, environ: Mapping[str, str] = os.environ, prefix: str = "HARVESTRY") -> Settings:
+    """The settings with those of folder/SECTION.yaml, then those of variables like HARVESTRY_COSTS__PER_KM, in place of the defaults.
+
+    A file or variable may leave settings out. Raises ConfigError for a section or setting that there isn't, and for
+    values of another kind than the default.
+    """
+    import yaml  # only who loads files needs it
+
+    found: dict[str, dict] = {}
+    sections = {f.name: f for f in fields(Settings)}
+    for path in sorted(Path(folder).glob("*.yaml")) if folder else []:
+        try:
+            values = yaml.safe_load(path.read_text())
+        except yaml.YAMLError as e:
+            raise ConfigError(f"{path} can't be read: {e}") from e
+        if not isinstance(values, dict):
+            raise ConfigError(f"{path} must map settings to values")
+        found.setdefault(path.stem, {}).update(values)
+    for name, text in sorted(environ.items()):
+        section, _, setting = name.removeprefix(f"{prefix}_").lower().partition("__")
+        if name.startswith(f"{prefix}_") and setting:
+            found.setdefault(section, {})[setting] = yaml.safe_load(text)
+    changed = {}
+    for section, values in found.items():
+        if section not in sections:
+            raise ConfigError(f"there is no section {section!r}")
+        now = getattr(SETTINGS, section)
+        names = {f.name for f in fields(now)}
+        for setting in values:
+            if setting not in names:
+                raise ConfigError(f"there is no setting {section}.{setting}")
+        changed[section] = replace(now, **{k: _like(v, getattr(now, k), f"{section}.{k}") for k, v in values.items()})
+    return replace(SETTINGS, **changed)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from harvestry.plans import decisions, features, ingest, names
+from harvestry.plans import decisions, features, ingest, names, reports
 from harvestry.plans.registry import ORACLE_SQL, QUERIES
 
-MODULES = (ingest, features, names, decisions)
+MODULES = (ingest, features, names, decisions, reports)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
