@@ -90,4 +90,14 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Every shingle that two texts share is joined with itself, then links are followed from each document.
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x20\x09-\x0D]+') AS w FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(w)=0 THEN [] WHEN len(w)<5 THEN [array_to_string(w,' ')] ELSE list_distinct(list_transform(range(1,len(w)-3), lambda i: array_to_string(w[i:i+4],' '))) END AS s FROM w),
+ u AS (SELECT min(doc_id) AS id, list_sort(s) AS s, len(any_value(s)) AS n FROM s WHERE len(s)>0 GROUP BY list_sort(s)),
+ e AS (SELECT id, n, unnest(s) AS sh FROM u), x AS (SELECT id, n, dense_rank() OVER (ORDER BY sh) AS sh FROM e SEMI JOIN (SELECT sh FROM e GROUP BY sh HAVING count(*)>1) q USING (sh)),
+ p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.sh=b.sh AND a.id<>b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100*count(*)>=75*(a.n+b.n-count(*))),
+ c AS (SELECT id AS root, id AS node FROM u UNION SELECT c.root, p.b FROM c JOIN p ON p.a=c.node),
+ m AS (SELECT node AS id, min(root) AS component_id FROM c GROUP BY 1)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN u ON u.s=list_sort(s.s) LEFT JOIN m USING (id)"""
+
+ORACLE_SQL = {"op10_ngram_jaccard": OP10_SQL}
