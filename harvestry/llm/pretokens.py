@@ -52,10 +52,14 @@ class PretokenCache:
             self.known.update(zip(hashes[missing].tolist(), slots[missing].tolist(), strict=True))
         return slots
 
+    def starts(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where the pre-tokens of texts that begin at `at` begin."""
+        return T.pretoken_starts(points, at)
+
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, and the number of ids before each text."""
         points, at = T.code_points(data, offsets)
-        starts = T.pretoken_starts(points, at)
+        starts = self.starts(points, at)
         hashes, index, inverse = np.unique(T.span_hashes(points, starts), return_index=True, return_inverse=True)
         ends = np.append(starts[1:], len(points))
         spell = lambda i: points[starts[index[i]] : ends[index[i]]].tobytes().decode("utf-32-le")

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), least=75)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, least_words=20, seed="2024")
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.mixing import taken
+
+    return taken(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, times=3)
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harvestry.llm.alignment import align_counted
+
+    return align_counted(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_sst_shards": op2_sst_shards,
@@ -88,6 +107,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_spotsigs": op9_spotsigs,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_source_mixing": op12_source_mixing,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 #: Every shingle that two texts share is joined with itself, then links are followed from each document.
@@ -100,4 +122,19 @@ OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(
  m AS (SELECT node AS id, min(root) AS component_id FROM c GROUP BY 1)
 SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM s LEFT JOIN u ON u.s=list_sort(s.s) LEFT JOIN m USING (id)"""
 
-ORACLE_SQL = {"op10_ngram_jaccard": OP10_SQL}
+#: CRC-32 by its table, of each distinct word once.
+OP11_SQL = r"""WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n,0,0,0,0,0,0,0,0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+ dw AS (SELECT r, unnest(w) AS w FROM d),
+ bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+ v AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+ b AS (SELECT w, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(w)), lambda i: ('0x' || substr(hex(w), (2*i+1)::INT, 2))::BIGINT)), lambda c, x: xor(t[(1 + (xor(c, x) & 255))::INT], c >> 8))) % 10000 AS bucket FROM v, tab),
+ s AS (SELECT bucket, count(*) AS s FROM dw JOIN b USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM bw JOIN b USING (w) GROUP BY 1),
+ g AS (SELECT bucket, floor(1000*ln((coalesce(t,0)+1)::DOUBLE*((SELECT count(*) FROM dw)+10000)::DOUBLE/((s+1)::DOUBLE*((SELECT count(*) FROM bw)+10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+ m AS (SELECT r, floor(sum(gain)::DOUBLE/count(*))::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY 1),
+ x AS (SELECT d.r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight,0) AS weight, ('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR,''))[1:8])::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+ y AS (SELECT r, doc_id, n_features, weight, weight+floor(-1000*ln(-ln((h+0.5)/4294967296)))::BIGINT AS score FROM x),
+ z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, n_features) AS k FROM y WHERE n_features>=20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k<=10*(SELECT count(*) FROM z)//100 THEN k END AS rank FROM y LEFT JOIN z USING (r)"""
+
+ORACLE_SQL = {"op10_ngram_jaccard": OP10_SQL, "op11_importance_resampling": OP11_SQL}
