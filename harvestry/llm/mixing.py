@@ -113,7 +113,8 @@ def _placed(sized: DataFrame, sources: DataFrame, with_text: bool) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[of[0] != source], of[1:] != of[:-1]]))
             sums = np.cumsum(sizes) - sizes
             base = np.full(len(of), total, np.int64)
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=True):
+            cuts = [*first.tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 base[a:b] = -sums[a]
             within = sums + base
             source, total = of[-1], int(within[-1] + sizes[-1])

@@ -42,7 +42,15 @@ def docs(spark):
 
 
 @pytest.mark.parametrize(("length", "per_shard"), [(1024, 8192), (16, 50), (1, 1000)])
-def test_taken(docs, length, per_shard):
+def test_taken(spark, docs, length, per_shard):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # sources go on from batch to batch
+    try:
+        check_taken(docs, length, per_shard)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def check_taken(docs, length, per_shard):
     got = [tuple(r) for r in mixing.taken(docs, length=length, per_shard=per_shard).collect()]
     assert Counter(got) == Counter(tuple(r) for r in mixing.taken(docs, length=length, per_shard=per_shard).collect())
     rows = docs.collect()
