@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from harvestry.plans import decisions, features, ingest, names, reports
+from harvestry.plans import decisions, features, ingest, names, reports, sources
 from harvestry.plans.registry import ORACLE_SQL, QUERIES
 
-MODULES = (ingest, features, names, decisions, reports)
+MODULES = (ingest, features, names, decisions, reports, sources)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Festivals within the tables' years.
@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_observations(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """Price reports from lineitem: mandi = supplier, variety and grade = flags; some rows are made faulty, so that cleaning has work."""
     lines = table(spark, sf_dir, "lineitem")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -23,7 +23,7 @@ def raw_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     high = F.when(fault == 2, unit * 41).otherwise(unit * (1 + F.col("l_tax")))
     return lines.select(
         F.col("l_shipdate").cast("date").alias("obs_date"), F.col("l_suppkey").alias("mandi_id"), F.lit(1).alias("commodity_id"), F.col("l_returnflag").alias("variety"), F.col("l_linestatus").alias("grade"),
-        low.alias("min_price"), high.alias("max_price"), modal.alias("modal_price"), F.col("l_quantity").alias("arrival_qtl"),
+        low.alias("min_price"), high.alias("max_price"), modal.alias("modal_price"), F.col("l_quantity").alias("arrival_qtl"), *more,
     )
 
 
