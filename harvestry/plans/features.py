@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from harvestry.operators import dataset
 from harvestry.operators import features as X
+from harvestry.operators import quantile_trees as trees
 from harvestry.operators.asof import asof
 from harvestry.plans.registry import CLEAN, DAILY, daily, observed, query, r, rounded
-from harvestry.sources import adapters
+from harvestry.sources import adapters, scratch
 
 GRID = """g AS (SELECT mandi_id, commodity_id, CAST(d AS DATE) AS obs_date FROM (SELECT mandi_id, commodity_id, unnest(generate_series(min(obs_date), max(obs_date), INTERVAL 1 DAY)) AS d FROM observed GROUP BY 1,2) WHERE isodow(d)<6)"""
 FESTIVALS = "fest AS (SELECT * FROM (VALUES " + ",".join(f"(DATE '{d}',{e})" for d, _, e in adapters.FESTIVALS) + ") t(fest_date, effect))"
@@ -197,3 +198,26 @@ def asof_tolerance(spark, sf_dir):
 SELECT o_orderkey, o.mandi_id, o.obs_date, {r("modal_price")} AS modal_price, d.obs_date AS settled_on FROM o ASOF LEFT JOIN daily d ON o.mandi_id=d.mandi_id AND o.obs_date<=d.obs_date""")
 def asof_forward(spark, sf_dir):
     return _order_prices(spark, sf_dir, None, True)
+
+
+#: A small model for a query; a service would grow more rounds.
+QUICK_TREES = trees.Params(rounds=6, depth=3, bins=16)
+
+
+def _matrix(spark, sf_dir):
+    obs, grid, rows = _features(spark, sf_dir)
+    return scratch.stored(dataset.training_matrix(rows, dataset.labels(grid, obs)), "matrix")
+
+
+@query(None)
+def quantile_forecasts(spark, sf_dir):
+    """Trees and the naive forecast on the last fold, by horizon."""
+    train, validate = trees.fold_rows(_matrix(spark, sf_dir), 3)
+    return trees.compare(trees.predict(trees.fit(train, QUICK_TREES), validate))
+
+
+@query(None)
+def ablation_by_group(spark, sf_dir):
+    """What leaving out a group of features costs on the last fold."""
+    train, validate = trees.fold_rows(_matrix(spark, sf_dir), 3)
+    return trees.ablation(train, validate, trees.Params(rounds=3, depth=2, bins=8))
