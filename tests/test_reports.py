@@ -47,6 +47,7 @@ def test_a_stored_matrix_is_used_while_it_covers(spark, tmp_path):
     assert load("2020-01-02", "2020-01-20", refresh=True) == 76 and len(built) == 3
     with pytest.raises(InsufficientData):
         dataset.load_or_build(spark, path, lambda: matrix(spark, "2020-01-01", "2020-01-01").limit(0), "2021-01-01", "2021-01-02")
+    assert spark.read.parquet(path).count() == 76  # what was stored stays
 
 
 def test_leakage_is_raised(spark):
