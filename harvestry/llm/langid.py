@@ -128,6 +128,9 @@ def least_cosine(letters: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> np.
 def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
     """Learns from at most about per_language rows of each language with letters in their texts; null languages and texts are left out.
 
+    Rows are drawn by a hash of identifier and text, and of rows alike in both one counts: repeated or null identifiers
+    neither take a language's sample away nor make it large.
+
     margin: a text is rejected if its cosine is below this part of what the language's own sample rows of similar length have, but for BELOW of them.
     """
     rows = labelled.where(labelled[lang_col].isNotNull() & labelled[text_col].isNotNull())
@@ -135,17 +138,18 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin
     if not counts:
         return Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], {})
     share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))))
-    drawn = F.pmod(F.xxhash64(rows[id_col].cast("long"), F.lit(11)), F.lit(1 << 20)) < share[rows[lang_col].cast("string")] * (1 << 20)
-    sample = shared.texts_of(rows.where(drawn), id_col, text_col, rows[lang_col].cast("string").alias("lang"))
+    key = F.xxhash64(rows[id_col].cast("long"), rows[text_col].cast("string"), F.lit(11))
+    drawn = F.pmod(key, F.lit(1 << 20)) < share[rows[lang_col].cast("string")] * (1 << 20)
+    sample = shared.texts_of(rows.where(drawn), id_col, text_col, rows[lang_col].cast("string").alias("lang"), key.alias("key")).dropDuplicates(["lang", "key"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch.column(1), 1 << 18):
                 x, letters = features(data, offsets)
                 good = np.flatnonzero(letters)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(good)), batch.column(2).slice(a, b - a).take(pa.array(good)), pa.array(letters[good]), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["doc_id", "lang", "letters", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(good)), batch.column(2).slice(a, b - a).take(pa.array(good)), batch.column(3).slice(a, b - a).take(pa.array(good)), pa.array(letters[good]), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["doc_id", "lang", "key", "letters", "x"])
 
-    held = shared.materialise(sample.mapInArrow(vectors, "doc_id long, lang string, letters long, x binary"), "vectors")
+    held = shared.materialise(sample.mapInArrow(vectors, "doc_id long, lang string, key long, letters long, x binary"), "vectors")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS, np.int64), 0
@@ -160,7 +164,7 @@ def fit(labelled: DataFrame, per_language: int = 400, centroids: int = 3, margin
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
     def centre(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id", kind="stable", na_position="first")
+        group = group.sort_values(["doc_id", "key"], kind="stable", na_position="first")
         x = unit(np.array([np.frombuffer(v, np.float32) for v in group["x"]]) * idf)
         c = cluster(x, centroids).astype(np.float32)
         at, least = usual(group["letters"].to_numpy(), left_out(x, c))

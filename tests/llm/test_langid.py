@@ -36,3 +36,14 @@ def test_short_texts_of_a_language_sampled_with_long_ones_stay(spark):
     rows = langid.predict(short, model).collect()
     assert len(rows) > 20
     assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
+
+
+def test_rows_without_identifiers_are_drawn_one_by_one_and_repeated_ones_count_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null")
+    languages = {r[0] for r in docs.select("lang").distinct().collect()}
+    nameless = docs.selectExpr("cast(null as long) as doc_id", "text", "lang")
+    for rows in (nameless, docs.selectExpr("7L as doc_id", "text", "lang")):
+        assert set(langid.fit(rows, per_language=20).languages) == languages
+    once = langid.fit(nameless, per_language=10**6)
+    often = langid.fit(nameless.unionByName(nameless).unionByName(nameless), per_language=10**6)
+    assert once.languages == often.languages and (once.idf == often.idf).all() and (once.centres == often.centres).all()
