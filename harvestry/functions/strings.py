@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harvestry.functions.maths import half_up
 
-# Accented Latin letters and what they are without their marks.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
 # Headline patterns with event type, direction and magnitude, the first match counts.
 SHOCK_PATTERNS = (
     (r"export.*(prohibit|ban|restrict)", "export_ban", -1, 3),
@@ -28,9 +28,60 @@ NO = r"(?i)(^|\s)(नाही|नको|no|n)($|\s)"
 ADVICE = r"(?i)विकू|भाव|सल्ला|sell|price|advice|rate"
 
 
+#: Hangul syllables stand in the order of their first, middle and last parts (19, 21, and 27 or none).
+HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+SYLLABLES = 19 * 21 * 28
+
+
+@cache
+def decompositions() -> tuple[str, str, str, str]:
+    """Code points that compatibility decomposition without combining marks changes: those that become one sign or none,
+    as texts for translate; those that become several, as one text of pairs for str_to_map, and as a pattern. Hangul is left out of the pairs."""
+    one, plain, none, several, ranges = [], [], [], [], []
+    for code in range(sys.maxunicode + 1):
+        sign = chr(code)
+        left = "".join(c for c in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(c))
+        if left == sign:
+            continue
+        if len(left) == 1:
+            one.append(sign)
+            plain.append(left)
+        elif left:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+            if not 0 <= code - HANGUL < SYLLABLES:
+                several.append(f"{sign}\x02{left}")
+        else:
+            none.append(sign)
+    pattern = "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges) + "]"
+    # translate drops the signs that have no partner.
+    return "".join(one + none), "".join(plain), "\x01".join(several), pattern
+
+
+def without_marks(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining marks; of the marks' order nothing is left, so each code point goes by itself.
+
+    Only texts with a sign that becomes several are taken apart.
+    """
+    signs, plain, several, pattern = decompositions()
+    parts = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
+    row = lambda first, n: F.array(*(F.lit(chr(first + k)) for k in range(n)))
+
+    def taken_apart(c: Column) -> Column:
+        k = F.ascii(c) - HANGUL
+        tail = F.when(k % 28 == 0, "").otherwise(F.get(row(TAILS, 28), k % 28))
+        syllable = F.concat(F.get(row(LEADS, 19), F.floor(k / 588).cast("int")), F.get(row(VOWELS, 21), F.floor(k % 588 / 28).cast("int")), tail)
+        return F.when(k.between(0, SYLLABLES - 1), syllable).when(c.rlike(pattern), F.try_element_at(parts, c)).otherwise(c)
+
+    apart = F.array_join(F.transform(F.split(text, ""), taken_apart), "")
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(F.translate(F.when(text.rlike(pattern), apart).otherwise(text), signs, plain))
+
+
 def normalise(name: Column) -> Column:
-    """Lower-cased, Latin marks and combining marks dropped, other signs blanks, blanks squeezed."""
-    plain = F.regexp_replace(F.translate(F.lower(name), ACCENTED, PLAIN), r"\p{Mn}", "")
+    """Without marks, lower-cased, other signs than letters, digits and _ blanks, blanks squeezed."""
+    plain = F.lower(without_marks(name))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
@@ -38,8 +89,34 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(name, " ")), " ")
 
 
+#: Longest text whose places fit the bits of a long, with room for a carry.
+BITS = 61
+
+
+def letter_places(text: Column) -> Column:
+    """map<letter, bits>: at which places of a text of BITS letters at most each of its letters stands."""
+    letters = F.split(text, "")
+
+    def places(c: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.length(text) - 1), F.lit(0).cast("long"), lambda bits, j: bits + F.when(F.get(letters, j) == c, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(0))
+
+    found = F.map_from_entries(F.transform(F.array_distinct(letters), lambda c: F.struct(c, places(c))))
+    return F.when(F.length(text).between(1, BITS), found)
+
+
+def common_by_bits(a: Column, places: Column, length: Column) -> Column:
+    """Length of the longest common subsequence of a and a text of so many letters, given its letter_places: a row of the usual table in one long."""
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), length) - 1
+
+    def row(above: Column, c: Column) -> Column:
+        met = above.bitwiseAND(F.coalesce(F.try_element_at(places, c), F.lit(0).cast("long")))
+        return (above + met).bitwiseOR(above - met).bitwiseAND(full)
+
+    return length - F.bit_count(F.aggregate(F.split(a, ""), full, row))
+
+
 def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, by rows of the usual table."""
+    """Length of the longest common subsequence: by bits, and by rows of the usual table for texts too long for them."""
     letters = F.split(b, "")
     start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
 
@@ -48,9 +125,18 @@ def longest_common(a: Column, b: Column) -> Column:
             best = F.when(F.element_at(letters, j) == c, F.element_at(above, j) + 1).otherwise(F.greatest(F.element_at(done, -1), F.element_at(above, j + 1)))
             return F.array_append(done, best)
 
-        return F.when(F.length(b) > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(b), F.lit(1))), F.array(F.lit(0)), cell)).otherwise(above)
+        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
+
+    # The places are bound once, not found again for each letter.
+    by_bits = F.element_at(F.transform(F.array(letter_places(b)), lambda p: common_by_bits(a, p, F.length(b))), 1)
+    by_rows = F.element_at(F.aggregate(F.split(a, ""), start, row), -1)
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(F.length(b) <= BITS, by_bits).otherwise(by_rows)
+
 
-    return F.element_at(F.aggregate(F.split(a, ""), start, row), -1)
+def numbered_grams(text: Column, q: int = 2) -> Column:
+    """Runs of q letters, each with how often it stood before, so that equal ones count as often as they occur."""
+    runs = F.when(F.length(text) >= q, F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substring(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.transform(runs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(runs, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.config import SETTINGS, Resolving
-from harvestry.functions.strings import normalise, sorted_tokens, token_sort_ratio
+from harvestry.functions.strings import BITS, common_by_bits, letter_places, longest_common, normalise, numbered_grams, sorted_tokens
+
+GRAM = 2
 
 
 def resolve(names: DataFrame, pool: DataFrame, cfg: Resolving = SETTINGS.resolving) -> DataFrame:
@@ -14,8 +16,7 @@ def resolve(names: DataFrame, pool: DataFrame, cfg: Resolving = SETTINGS.resolvi
 
     names: raw, district (null: none). pool: entity_id, name, district. Candidates are those of the name's district, or
     all if none lies in it. Of several prefixes that with the least id counts; of fuzzy matches the best, then the least id.
-    Names whose sorted tokens are too far apart for the least score aren't compared (the Levenshtein distance of
-    two texts is at most the number of edits that the score counts).
+    Only pairs whose sorted tokens share enough runs of two letters for the least score are scored.
     """
     distinct = names.select("raw", "district").distinct().withColumn("needle", normalise(F.col("raw")))
     pool = pool.select("entity_id", "name", F.col("district").alias("pool_district"), normalise(F.col("name")).alias("candidate"))
@@ -24,33 +25,74 @@ def resolve(names: DataFrame, pool: DataFrame, cfg: Resolving = SETTINGS.resolvi
     allowed = ~F.col("restrict") | (F.col("pool_district") == F.col("district"))
     key = ["raw", "district", "needle", "restrict"]
 
-    def best(found: DataFrame, order) -> DataFrame:
-        return found.groupBy(*key).agg(F.min_by(F.struct("entity_id", F.col("name").alias("matched_name"), "score"), order).alias("m"))
-
-    def split(tried: DataFrame, found: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
-        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("raw", "district")]
-        joined = tried.alias("r").join(found.alias("f"), same, "left").select(*(F.col(f"r.{c}").alias(c) for c in key), F.col("f.m").alias("m"))
-        return joined.where("m is not null").withColumn("method", F.lit(method)), joined.where("m is null").drop("m")
-
-    exact = rows.join(pool, (F.col("needle") == F.col("candidate")) & allowed).withColumn("score", F.lit(100.0))
-    done, rest = split(rows, best(exact, F.col("entity_id")), "exact")
-    # A candidate is a prefix of whole tokens: equal to one of the needle's own prefixes, so an equi-join finds it.
+    # A candidate is the whole name or a prefix of whole tokens: equal to one of the needle's own heads, so an equi-join finds it.
     words = F.split("needle", " ")
     heads = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
-    prefixed = rest.withColumn("head", F.explode(F.slice(heads, F.lit(1), F.greatest(F.size(heads) - 1, F.lit(0))))).where(F.length("head") >= cfg.prefix_chars)
-    prefix = prefixed.join(pool, (F.col("head") == F.col("candidate")) & allowed).withColumn("score", F.lit(100.0))
-    found, rest = split(rest, best(prefix, F.col("entity_id")), "prefix")
-    done = done.unionByName(found)
-    # Only names of near lengths can score enough: lengths are the join's key.
-    a, b = F.length("needle"), F.length("candidate")
-    near = rest.withColumn("of_length", F.explode(F.sequence(F.greatest(F.floor(a * cfg.review / (200 - cfg.review)), F.lit(1)), F.ceil(a * (200 - cfg.review) / cfg.review)))).join(pool.withColumn("of_length", b.cast("long")), "of_length").where(allowed)
-    bound = F.floor((a + b) * (100 - cfg.review) / 100)
-    near = near.where(F.levenshtein(sorted_tokens(F.col("needle")), sorted_tokens(F.col("candidate"))) <= bound)
-    fuzzy = near.withColumn("score", token_sort_ratio(F.col("needle"), F.col("candidate"))).where(F.col("score") >= cfg.review)
-    found, rest = split(rest, best(fuzzy, F.struct(-F.col("score"), F.col("entity_id"))), "fuzzy")
-    none = rest.withColumn("m", F.lit(None).cast(found.schema["m"].dataType)).withColumn("method", F.lit("none"))
-    out = done.unionByName(found).unionByName(none)
-    return out.select("raw", "district", "m.entity_id", "m.matched_name", F.coalesce("m.score", F.lit(0.0)).alias("score"), "method", ((F.col("method") == "fuzzy") & (F.col("m.score") < cfg.auto)).alias("needs_review"))
+    headed = rows.withColumn("head", F.explode_outer(heads)).withColumn("whole", F.col("head") == F.col("needle"))
+    named = headed.join(pool, (F.col("head") == F.col("candidate")) & allowed & (F.col("whole") | (F.length("head") >= cfg.prefix_chars)), "left")
+    match = F.struct("entity_id", F.col("name").alias("matched_name"), F.lit(100.0).alias("score"), F.when(F.col("whole"), "exact").otherwise("prefix").alias("method"))
+    first = named.groupBy(*key).agg(F.min_by(match, F.when(F.col("entity_id").isNotNull(), F.struct(~F.col("whole"), "entity_id"))).alias("m"))
+
+    rest = first.where("m is null").drop("m")
+    fuzzy = _scored(rest, pool.where(F.length("candidate") > 0), allowed, cfg)
+    match = F.struct("entity_id", F.col("name").alias("matched_name"), "score", F.lit("fuzzy").alias("method"))
+    both = first.select("raw", "district", "m", F.lit(None).cast("double").alias("s")).unionByName(fuzzy.select("raw", "district", match.alias("m"), "score").withColumnRenamed("score", "s"))
+    # A name's exact or prefix match stands alone; of fuzzy ones the best counts, then the least id.
+    out = both.groupBy("raw", "district").agg(F.min_by("m", F.when(F.col("m").isNotNull(), F.struct(-F.col("s"), F.col("m.entity_id")))).alias("m"))
+    method = F.coalesce("m.method", F.lit("none"))
+    return out.select("raw", "district", "m.entity_id", "m.matched_name", F.coalesce("m.score", F.lit(0.0)).alias("score"), method.alias("method"), ((method == "fuzzy") & (F.col("m.score") < cfg.auto)).alias("needs_review"))
+
+
+def _needed(total: Column, edits: Column) -> Column:
+    """Shared runs of two texts of so many letters together, at so many edits: an edit that takes a letter away breaks GRAM
+    runs, one that puts one in a run less, and the texts' lengths say how many of both there are."""
+    return F.ceil(total / 2 - (GRAM - 1) - edits * (GRAM - 0.5) - 1e-9)
+
+
+def _by_rarity(texts: DataFrame, counts: DataFrame, cfg: Resolving) -> DataFrame:
+    """text, grams (rarest in the pool first) and head: the first grams, of which two texts that score enough share one."""
+    shortest = F.ceil(F.length("text") * cfg.review / (200 - cfg.review) - 1e-9)
+    total = F.length("text") + shortest
+    least = F.greatest(_needed(total, total * (100 - cfg.review) / 100), F.lit(1))
+    rows = texts.select("text", F.explode(numbered_grams(F.col("text"), GRAM)).alias("gram")).join(counts, "gram", "left")
+    ordered = rows.groupBy("text").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")))["gram"].alias("grams"))
+    return ordered.withColumn("head", F.slice("grams", F.lit(1), F.greatest(F.size("grams") - least + 1, F.lit(0)).cast("int")))
+
+
+def _scored(rest: DataFrame, pool: DataFrame, allowed: Column, cfg: Resolving) -> DataFrame:
+    """Pairs of names and candidates whose score is at least cfg.review.
+
+    The edits that the score counts are at most a share of both lengths. So the texts share a least number of runs, and
+    one of the rarest runs of both: an equi-join of these finds the pairs, each under the first that it shares.
+    Pairs for which no shared run is sure (very short texts, or a low least score) meet by their lengths.
+    """
+    rest = rest.withColumn("a", sorted_tokens(F.col("needle")))
+    pool = pool.withColumn("b", sorted_tokens(F.col("candidate")))
+    total = F.length("a") + F.length("b")
+    edits = F.floor(total * (100 - cfg.review) / 100 + 1e-9)
+    needed = _needed(total, edits)
+
+    counts = pool.select(F.explode(numbered_grams(F.col("b"), GRAM)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    here = pool.select(F.col("b").alias("text")).distinct()
+    theirs = _by_rarity(here, counts, cfg).withColumn("places", letter_places(F.col("text"))).select(F.col("text").alias("b"), F.col("grams").alias("b_grams"), F.col("head").alias("b_head"), "places")
+    ours = _by_rarity(rest.select(F.col("a").alias("text")).distinct(), counts, cfg).select(F.col("text").alias("a"), F.col("grams").alias("a_grams"), F.col("head").alias("a_head"))
+    # Candidates stand under their district, for names of it, and under none, for names that may be anywhere.
+    pool_rows = pool.join(theirs, "b").withColumn("at", F.explode(F.array_distinct(F.array(F.col("pool_district"), F.lit(None).cast("string"))))).withColumn("gram", F.explode("b_head"))
+    rows = rest.join(ours, "a").withColumn("of", F.when(F.col("restrict"), F.col("district"))).withColumn("gram", F.explode("a_head"))
+    met = rows.join(pool_rows, (rows["gram"] == pool_rows["gram"]) & F.col("of").eqNullSafe(F.col("at"))).where(rows["gram"] == F.get(F.array_intersect("a_head", "b_head"), F.lit(0)))
+    met = met.where((F.size(F.array_intersect("a_grams", "b_grams")) >= needed) & (F.levenshtein("a", "b") <= edits))
+    common = F.when(F.length("b") <= BITS, common_by_bits(F.col("a"), F.col("places"), F.length("b"))).otherwise(longest_common(F.col("a"), F.col("b")))
+    columns = ["raw", "district", "needle", "restrict", "entity_id", "name", "score"]
+    out = met.withColumn("score", 200.0 * common / total).where(F.col("score") >= cfg.review).select(columns)
+
+    share = 0.5 - (GRAM - 0.5) * (100 - cfg.review) / 100
+    if share <= 0 or GRAM / share > 4:
+        few = lambda c: F.lit(True) if share <= 0 else F.length(c) <= GRAM / share
+        lengths = F.sequence(F.greatest(F.floor(F.length("a") * cfg.review / (200 - cfg.review)), F.lit(1)), F.ceil(F.length("a") * (200 - cfg.review) / cfg.review))
+        near = rest.where(few("a")).withColumn("of_length", F.explode(lengths)).join(pool.where(few("b")).withColumn("of_length", F.length("b").cast("long")), "of_length")
+        near = near.where(allowed & (needed < 1) & (F.levenshtein("a", "b") <= edits)).withColumn("score", 200.0 * longest_common(F.col("a"), F.col("b")) / total)
+        out = out.unionByName(near.where(F.col("score") >= cfg.review).select(columns))
+    return out
 
 
 def attach(rows: DataFrame, resolved: DataFrame, raw: str, district: str | None, as_: str) -> DataFrame:
