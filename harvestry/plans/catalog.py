@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from harvestry.plans import decisions, features, ingest, names, reports, sources, warnings
+from harvestry.plans import decisions, features, ingest, names, nearby, reports, sources, warnings
 from harvestry.plans.registry import ORACLE_SQL, QUERIES
 
-MODULES = (ingest, features, names, decisions, reports, sources, warnings)
+MODULES = (ingest, features, names, decisions, reports, sources, warnings, nearby)
 
 __all__ = ["MODULES", "ORACLE_SQL", "QUERIES"]
