@@ -164,33 +164,36 @@ def weather(grid: DataFrame, daily: DataFrame, cfg: Features = SETTINGS.features
 
 
 def shock(days: DataFrame, events: DataFrame) -> DataFrame:
-    """obs_date with decayed sums of past events; days: distinct obs_date.
+    """obs_date with decayed sums of past events; days: distinct obs_date. If both tables have a commodity_id, each commodity's days see its own events only.
 
     A sum of magnitude * exp(-age / tau) is carried from event to event: with one tau for each
     decay it is exp(-day / tau) times a running sum, so no day meets all events.
     """
     tau = F.col("decay_days") / 3
+    of = [c for c in ("commodity_id",) if c in days.columns and c in events.columns]
+    kind = [*of, "decay_days"]
     # No more rows than days, decays and directions, however many events a day has.
-    events = events.groupBy("obs_date", "decay_days", F.signum("direction").alias("direction")).agg(F.sum("magnitude").alias("magnitude"))
-    rows = events.select("obs_date", dates.day_number(F.col("obs_date")).alias("dn"), "direction", "magnitude", "decay_days").withColumn("of_grid", F.lit(False))
-    kinds = events.select("decay_days").distinct()
-    grid = days.select("obs_date", dates.day_number(F.col("obs_date")).alias("dn"), F.lit(True).alias("of_grid")).crossJoin(F.broadcast(kinds))
+    events = events.groupBy("obs_date", *kind, F.signum("direction").alias("direction")).agg(F.sum("magnitude").alias("magnitude"))
+    rows = events.select(*of, "obs_date", dates.day_number(F.col("obs_date")).alias("dn"), "direction", "magnitude", "decay_days").withColumn("of_grid", F.lit(False))
+    kinds = events.select(*kind).distinct()
+    grid = days.select(*of, "obs_date", dates.day_number(F.col("obs_date")).alias("dn"), F.lit(True).alias("of_grid"))
+    grid = grid.join(kinds, of) if of else grid.crossJoin(F.broadcast(kinds))
     # Ages count from the first day of each block of half a year; a block starts from what the ones before left.
     block = 180
     both = rows.unionByName(grid, allowMissingColumns=True).withColumn("block", F.floor(F.col("dn") / block)).withColumn("age0", F.col("dn") - F.col("block") * block)
     grown = lambda sign: F.when(~F.col("of_grid") & (F.signum("direction") == sign), F.col("magnitude") * F.exp(F.col("age0") / tau))
     both = both.withColumn("bear", grown(-1)).withColumn("bull", grown(1))
-    inside = Window.partitionBy("decay_days", "block").orderBy("dn").rangeBetween(Window.unboundedPreceding, 0)
-    blocks = both.groupBy("decay_days", "block").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("bear", "bull")), F.max(F.when(~F.col("of_grid"), F.col("dn"))).alias("last"))
+    inside = Window.partitionBy(*kind, "block").orderBy("dn").rangeBetween(Window.unboundedPreceding, 0)
+    blocks = both.groupBy(*kind, "block").agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("bear", "bull")), F.max(F.when(~F.col("of_grid"), F.col("dn"))).alias("last"))
     x, y = blocks.alias("x"), blocks.alias("y")
     left = F.exp(-(F.col("x.block") - F.col("y.block")) * block / (F.col("x.decay_days") / 3))
-    earlier = x.join(y, (F.col("x.decay_days") == F.col("y.decay_days")) & (F.col("y.block") < F.col("x.block")), "left").groupBy(F.col("x.decay_days").alias("decay_days"), F.col("x.block").alias("block")).agg(
+    earlier = x.join(y, [*(F.col(f"x.{c}") == F.col(f"y.{c}") for c in kind), F.col("y.block") < F.col("x.block")], "left").groupBy(*(F.col(f"x.{c}").alias(c) for c in (*kind, "block"))).agg(
         *(F.coalesce(F.sum(left * F.col(f"y.{c}")), F.lit(0.0)).alias(f"{c}_before") for c in ("bear", "bull")), F.max("y.last").alias("last_before")
     )
     summed = both.withColumns({f"{c}_in": F.coalesce(F.sum(c).over(inside), F.lit(0.0)) for c in ("bear", "bull")}).withColumn("last_in", F.max(F.when(~F.col("of_grid"), F.col("dn"))).over(inside))
-    out = summed.where("of_grid").join(earlier, ["decay_days", "block"])
+    out = summed.where("of_grid").join(earlier, [*kind, "block"])
     fade = F.exp(-F.col("age0") / tau)
-    return out.groupBy("obs_date").agg(
+    return out.groupBy(*of, "obs_date").agg(
         F.sum((F.col("bear_in") + F.col("bear_before")) * fade).alias("shock_active_bearish"), F.sum((F.col("bull_in") + F.col("bull_before")) * fade).alias("shock_active_bullish"),
         F.min(F.col("dn") - F.greatest("last_in", "last_before")).alias("days_since_shock"),
     )
@@ -200,12 +203,14 @@ def build_features(obs: DataFrame, grid: DataFrame, weather_daily: DataFrame, ev
     """For each grid row: as_of, status (ok or insufficient), price_now, and the 45 features in registry order.
 
     obs: commodity_id, mandi_id, obs_date, prices, arrival_qtl, is_imputed; a row for each series and day. A grid of one row serves one request.
+    events: of all commodities, or with a commodity_id.
     """
     own = base(obs, grid, cfg)
     days = grid.select("obs_date").distinct()
+    of = [c for c in ("commodity_id",) if c in events.columns]
     key = [*SERIES, "obs_date"]
     joined = own.join(seasonal(obs, grid), key, "left").join(cross_mandi(own, cfg), key, "left").join(weather(grid, weather_daily, cfg), key, "left")
-    joined = joined.join(calendar(days, festivals, cfg), "obs_date", "left").join(shock(days, events), "obs_date", "left")
+    joined = joined.join(calendar(days, festivals, cfg), "obs_date", "left").join(shock(grid.select(*of, "obs_date").distinct(), events), [*of, "obs_date"], "left")
     zscore = (F.col("la_now") - F.col("season_mean")) / F.when(F.col("season_std") > 0, F.col("season_std"))
     changes = {"arr_zscore_seasonal": zscore, "perishability_class": F.lit(perishability)} | {c: F.coalesce(c, F.lit(0.0)) for c in ("shock_active_bearish", "shock_active_bullish")}
     joined = joined.withColumns(changes)

@@ -173,7 +173,7 @@ SELECT mandi_id, count(*) AS attempted, count_if(status<>'ok')::BIGINT AS insuff
 def build_stats(spark, sf_dir):
     obs = observed(spark, sf_dir)
     grid = X.grid_of(obs)
-    own = X.base(obs, grid).select(F.col("mandi_id").cast("double").alias("mandi_id"), F.col("obs_date").alias("as_of"), F.when(F.col("n_real") >= 60, "ok").otherwise("insufficient").alias("status"))
+    own = X.base(obs, grid).select(*(F.col(c).cast("double").alias(c) for c in X.SERIES), F.col("obs_date").alias("as_of"), F.when(F.col("n_real") >= 60, "ok").otherwise("insufficient").alias("status"))
     return dataset.build_stats(own, dataset.labels(grid, obs))
 
 
@@ -221,3 +221,18 @@ def ablation_by_group(spark, sf_dir):
     """What leaving out a group of features costs on the last fold."""
     train, validate = trees.fold_rows(_matrix(spark, sf_dir), 3)
     return trees.ablation(train, validate, trees.Params(rounds=3, depth=2, bins=8))
+
+
+@query(f"""WITH dd AS (SELECT DISTINCT c AS commodity_id, CAST(o_orderdate AS DATE) AS obs_date FROM orders, (VALUES (1),(2),(3)) t(c)),
+ sh AS (SELECT o_custkey%2+1 AS commodity_id, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderstatus='F' THEN -1 ELSE 1 END AS direction, sum(floor(o_totalprice)::BIGINT%3+1) AS magnitude FROM orders WHERE o_orderpriority='1-URGENT' GROUP BY 1,2,3),
+ q AS (SELECT dd.commodity_id, dd.obs_date, sum(CASE WHEN direction<0 THEN magnitude*exp(-(dd.obs_date-d)/10.0) ELSE 0 END) AS bear, sum(CASE WHEN direction>0 THEN magnitude*exp(-(dd.obs_date-d)/10.0) ELSE 0 END) AS bull, min(dd.obs_date-d)::DOUBLE AS since
+  FROM dd JOIN sh ON sh.commodity_id=dd.commodity_id AND sh.d<=dd.obs_date GROUP BY 1,2)
+SELECT dd.commodity_id, dd.obs_date, {r("coalesce(bear,0)")} AS shock_active_bearish, {r("coalesce(bull,0)")} AS shock_active_bullish, {r("since")} AS days_since_shock FROM dd LEFT JOIN q USING (commodity_id, obs_date)""")
+def feat_shock_by_commodity(spark, sf_dir):
+    """Shocks of two commodities, seen by each alone; a third has none."""
+    orders = adapters.table(spark, sf_dir, "orders")
+    of = orders.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 2 + 1).cast("int").alias("commodity_id"))
+    events = adapters.shocks(spark, sf_dir).join(of, "event_id")
+    days = orders.select(F.col("o_orderdate").cast("date").alias("obs_date")).distinct().withColumn("commodity_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    rows = days.join(X.shock(days, events), ["commodity_id", "obs_date"], "left")
+    return rounded(rows.select("commodity_id", "obs_date", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("shock_active_bearish", "shock_active_bullish")), F.col("days_since_shock").cast("double").alias("days_since_shock")))

@@ -122,6 +122,40 @@ def invalid_shocks(events: DataFrame) -> DataFrame:
     return events.where(~F.coalesce(good, F.lit(False)))
 
 
+# The columns of a file of policy events.
+SHOCK_COLUMNS = ("event_date", "event_type", "commodity", "scope", "direction", "magnitude", "decay_days", "title", "source_url")
+
+
+def read_shocks(spark: SparkSession, path: str, shown: int = 5) -> DataFrame:
+    """Policy events of hand-written CSV files, with file and line; lines that begin with # are comments, an empty decay is 30 days.
+
+    Raises IngestionError that names the first lines that aren't allowed. A value holds no line break; a file is one row at first, as
+    only a whole file has line numbers.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("at", "text"))
+    lines = whole.where("trim(text) <> '' and not ltrim(text) like '#%'").withColumn("line", F.col("at") + 1)
+    heads = lines.groupBy("file").agg(F.min_by("text", "line").alias("head"), F.min("line").alias("first"))
+    found = {tuple(c.strip() for c in r["head"].split(",")) for r in heads.select("head").distinct().limit(shown).collect()}
+    if not found:
+        raise IngestionError(f"{path} is empty: it needs a header at least")
+    if len(found) > 1:
+        raise IngestionError(f"the files of {path} have different headers")
+    header = found.pop()
+    missing = [c for c in SHOCK_COLUMNS if c not in header]
+    if missing:
+        raise IngestionError(f"{path} lacks the columns {missing}")
+    parsed = F.from_csv("text", F.lit(", ".join(f"`{c}` string" for c in header)), {"mode": "PERMISSIVE", "escape": '"'})
+    rows = lines.join(F.broadcast(heads.drop("head")), "file").where(F.col("line") > F.col("first")).select("file", "line", parsed.alias("p")).select("file", "line", *(F.trim(F.col("p")[c]).alias(c) for c in SHOCK_COLUMNS))
+    number = lambda c: F.col(c).try_cast("int")
+    decay = F.when(F.coalesce("decay_days", F.lit("")) == "", 30).otherwise(number("decay_days"))
+    day = F.when(F.col("event_date").rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.col("event_date").try_cast("date"))
+    events = rows.withColumns({"obs_date": day, "direction": number("direction"), "magnitude": number("magnitude"), "decay_days": decay})
+    wrong = invalid_shocks(events).unionByName(events.where(F.col("obs_date").isNull())).select("file", "line").distinct().orderBy("file", "line").limit(shown).collect()
+    if wrong:
+        raise IngestionError("not allowed: " + ", ".join(f"{r['file']} line {r['line']}" for r in wrong))
+    return events.drop("event_date")
+
+
 def windows(start, end, months: int = 6) -> list[tuple]:
     """(from, to) of consecutive pulls that overlap by a day, so that a key's upsert removes what comes twice."""
     out = []
