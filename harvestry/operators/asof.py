@@ -14,9 +14,9 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], day: str, values: l
     value = F.struct(F.col(day).alias(found), *(F.col(v) for v in values))
     r = right.select(*keys, day, value.alias("__value")).groupBy(*keys, day).agg(F.max("__value").alias("__value"))
     both = left.withColumn("__left", F.lit(True)).unionByName(r.withColumn("__left", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(day)
-    frame = w.rangeBetween(Window.currentRow, Window.unboundedFollowing) if forward else w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    pick = (F.first if forward else F.last)("__value", ignorenulls=True).over(frame)
+    # Forward goes back from the last day: Spark keeps a frame that grows, but computes one that shrinks anew for each row.
+    frame = Window.partitionBy(*keys).orderBy(F.desc(day) if forward else F.asc(day)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    pick = F.last("__value", ignorenulls=True).over(frame)
     out = both.withColumn("__found", pick).where("__left")
     if tolerance_days is not None:
         out = out.withColumn("__found", F.when(F.abs(F.datediff(F.col(day), F.col(f"__found.{found}"))) <= tolerance_days, F.col("__found")))
