@@ -9,7 +9,7 @@ from harvestry.functions import dates
 from harvestry.operators import cleaning, profile
 from harvestry.operators.asof import keep_last
 from harvestry.plans.registry import ABSURD, CLEAN, DAILY, RAW, SERIES, SUSPECT, TAGGED, daily, observed, query, r, rounded
-from harvestry.sources import adapters, readers
+from harvestry.sources import adapters, readers, scratch
 from harvestry.sources.sinks import upsert
 
 KEY = ["obs_date", "mandi_id", "commodity_id"]
@@ -95,7 +95,7 @@ def dedupe_keep_last(spark, sf_dir):
 SELECT obs_date, mandi_id, commodity_id, {r("modal_price")} AS modal_price, is_imputed FROM b QUALIFY row_number() OVER (PARTITION BY obs_date, mandi_id, commodity_id ORDER BY is_imputed, n DESC)=1""")
 def upsert_guarded(spark, sf_dir):
     """Imputed rows never replace real ones."""
-    rows = observed(spark, sf_dir).select(*KEY, "modal_price", "is_imputed")
+    rows = scratch.stored(observed(spark, sf_dir).select(*KEY, "modal_price", "is_imputed"), "observed")
     incoming = rows.where("mandi_id % 3 < 2").withColumn("modal_price", F.col("modal_price") + 1).withColumn("is_imputed", F.col("mandi_id") % 2 == 0)
     return rounded(upsert(rows, incoming, KEY, weak="is_imputed"))
 

@@ -177,3 +177,9 @@ def test_conversation_is_the_same_step_by_step(spark):
         want.append(step)
     rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
     assert [r["step"] for r in conversation_steps(rows).orderBy("turn").collect()] == want
+
+
+def test_gaps_are_filled_without_cleaning_twice(spark):
+    """A union of rows and filled rows would read, and clean, what is before it once for each."""
+    plan = cleaning.impute_gaps(series(spark, [1500.0] * 5))._jdf.queryExecution().analyzed().toString()
+    assert "Union" not in plan
