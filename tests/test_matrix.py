@@ -71,3 +71,14 @@ def test_empty_files_and_missing_columns(spark, tmp_path):
         shocks(spark, tmp_path, "# nothing")
     with pytest.raises(IngestionError, match="magnitude"):
         shocks(spark, tmp_path, HEADER.replace("magnitude,", ""), name="b.csv")
+
+
+def test_labels_look_ahead_by_rows_and_not_by_a_sort_for_each_horizon(spark):
+    obs = spark.createDataFrame([(1, 1, dt.date(2024, 1, d), p, False) for d, p in ((1, 10.0), (4, 20.0), (11, 40.0))], "commodity_id int, mandi_id int, obs_date date, modal_price double, is_imputed boolean")
+    grid = spark.createDataFrame([(1, 1, dt.date(2024, 1, d)) for d in (2, 5, 13)], "commodity_id int, mandi_id int, obs_date date")
+    found = dataset.labels(grid, obs, (1, 7))
+    rows = {(r["as_of"].day, r["horizon"]): (r["price_now"], r["price_target"], r["target_date"] and r["target_date"].day) for r in found.collect()}
+    assert rows == {(2, 1): (10.0, 10.0, 1), (2, 7): (10.0, None, None), (5, 1): (20.0, 20.0, 4), (5, 7): (20.0, 40.0, 11), (13, 1): (40.0, None, None), (13, 7): (40.0, None, None)}
+    plan = found._jdf.queryExecution().analyzed().toString()
+    # The horizons come after the last window, so none of them is sorted.
+    assert plan.index("horizon") < plan.index("Window [") and "Window [" not in plan[: plan.index("Generate")]
