@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from harvestry.operators import features as X
 from harvestry.operators.nearest import nearest, nearest_prices
-from harvestry.plans.features import BASE
-from harvestry.plans.registry import observed, query, r, rounded
-from harvestry.sources import adapters
+from harvestry.plans.features import BASE, stored_series
+from harvestry.plans.registry import query, r, rounded
+from harvestry.sources import adapters, scratch
 
 # At scale 0.01 the SQL may look at every pair of markets.
 NEAR = f"""m AS (SELECT s_suppkey AS mandi_id, 19.0::DOUBLE+s_suppkey%37/20.0::DOUBLE AS lat, 73.0::DOUBLE+s_suppkey%41/20.0::DOUBLE AS lon FROM supplier),
@@ -24,6 +24,7 @@ def nearest_markets(spark, sf_dir):
 SELECT mandi_id, obs_date, {r("p")} AS nbr_price_mean_k5, {r("CASE WHEN price_now>0 AND p>0 THEN ln(price_now/p) END")} AS price_vs_near FROM own LEFT JOIN nm USING (mandi_id, obs_date)""")
 def nearest_price_means(spark, sf_dir):
     """Each market's price beside the mean of the five nearest by road, on all business days."""
-    obs = observed(spark, sf_dir)
-    rows = nearest_prices(X.base(obs, X.grid_of(obs)), nearest(adapters.mandis(spark, sf_dir), 5))
+    obs = stored_series(spark, sf_dir)
+    own = scratch.stored(X.base(obs, X.grid_of(obs)).select(*X.SERIES, "obs_date", "price_now", "days_since_observation"), "own")
+    rows = nearest_prices(own, nearest(adapters.mandis(spark, sf_dir), 5))
     return rounded(rows.select("mandi_id", "obs_date", "nbr_price_mean_k5", "price_vs_near"))
