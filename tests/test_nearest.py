@@ -6,6 +6,7 @@ import random
 import pytest
 
 from harvestry.operators.nearest import nearest
+from harvestry.plans import names
 
 SCHEMA = "mandi_id int, lat double, lon double"
 
@@ -55,3 +56,9 @@ def test_known_roads_count_before_straight_lines(spark):
     at = {p[0]: p[1:] for p in points}
     cache = spark.createDataFrame([(*at[a], *at[b], km, 1.0, 1) for (a, b), km in roads.items()], "from_lat double, from_lon double, to_lat double, to_lon double, road_km double, duration_min double, cached_at int")
     assert rows(nearest(spark.createDataFrame(points, SCHEMA), 3, cache)) == brute(points, 3, roads)
+
+
+def test_all_pairs_are_dealt_by_blocks(spark):
+    rows = names.haversine_pairs(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
