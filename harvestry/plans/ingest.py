@@ -36,7 +36,7 @@ def absurd_filter(spark, sf_dir):
 
 @query(f"WITH {SUSPECT} SELECT obs_date, mandi_id, {r('log_return')} AS log_return, {r('zscore')} AS zscore, suspect FROM flagged")
 def suspect_flag(spark, sf_dir):
-    rows = cleaning.flag_suspect(cleaning.tag_absurd(daily(spark, sf_dir)).where("not absurd"))
+    rows = cleaning.flag_suspect(cleaning.mark_absurd(daily(spark, sf_dir)).where("not absurd"))
     return rounded(rows.select("obs_date", "mandi_id", "log_return", "zscore", "suspect"))
 
 

@@ -1,6 +1,8 @@
 """Closed-form cases of cleaning, as-of lookups, merging and the small functions."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,16 @@ def test_gaps_are_filled_without_cleaning_twice(spark):
     """A union of rows and filled rows would read, and clean, what is before it once for each."""
     plan = cleaning.impute_gaps(series(spark, [1500.0] * 5))._jdf.queryExecution().analyzed().toString()
     assert "Union" not in plan
+
+
+def test_absurd_days_are_marked_without_a_median_for_each_row(spark):
+    rng = random.Random(5)
+    rows = [(1, m, dt.date(2024, 1, 1) + dt.timedelta(days=i), rng.choice([None, 50.0, 60.0, 70.0, 900.0, 1250.0, 1300.0, 1400.0, 26000.0])) for m in (1, 2) for i in range(230)]
+    daily = spark.createDataFrame(rows, "commodity_id int, mandi_id int, obs_date date, modal_price double")
+    marked = cleaning.mark_absurd(daily)
+    plan = marked._jdf.queryExecution().analyzed().toString().lower()
+    assert not re.search(r"rowframe, -\d+, -1", plan)  # no row meets a frame of its own
+    key = ["mandi_id", "obs_date", "absurd"]
+    got, want = (sorted(map(tuple, df.select(*key).collect())) for df in (marked, cleaning.tag_absurd(daily)))
+    assert got == want
+    assert 0 < sum(r[2] for r in want) < len(want)
