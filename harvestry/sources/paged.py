@@ -7,6 +7,7 @@ for what isn't there. As a stream, an offset is the number of windows that are o
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import time
@@ -136,7 +137,8 @@ class Pages:
         """The pages of one district and window, landed first."""
         landing, suffix = Landing(self.landing_uri, self.url), None
         known = self.offline or not (self.refresh and part.end >= self.refresh)
-        for page in range(self.max_pages + 1):
+        # Landed pages end by themselves, however many they are.
+        for page in itertools.count() if self.offline else range(self.max_pages + 1):
             offset = page * self.limit
             rows = landing.get(part, offset) if known else None
             if rows is None:
@@ -152,7 +154,7 @@ class Pages:
                     suffix = self.suffix if rows else ""
                 if page < self.max_pages:
                     landing.put(part, offset, rows)
-            if page == self.max_pages and rows:
+            if page == self.max_pages and rows and not self.offline:
                 raise IngestionError(f"more than {self.max_pages} pages for {part}: use shorter windows")
             yield rows
             if self.post or len(rows) < self.limit:
@@ -236,15 +238,16 @@ def land(rows: DataFrame, landing: str, url: str, district: str, day: str, order
     record = F.struct(*(F.col(c).cast("string").alias(c) for c in rows.columns))
     met = table.join(rows.withColumn("__r", record), (F.col("__district") == F.col(district).cast("string")) & F.col(day).between(F.col("__start"), F.col("__end")), "left")
     w = Window.partitionBy("__district", "__start", "__end").orderBy(*order)
-    page = met.withColumn("__page", F.floor((F.row_number().over(w) - 1) / limit)).groupBy("__district", "__start", "__end", "__page").agg(F.to_json(F.collect_list("__r")).alias("__records"))
-    page = page.withColumn("__last", F.max("__page").over(Window.partitionBy("__district", "__start", "__end")))
+    # The last row of a window is found among rows, so that no task holds all pages of one.
+    met = met.withColumn("__page", F.floor((F.row_number().over(w) - 1) / limit)).withColumn("__ends", F.lead(F.lit(1)).over(w).isNull())
+    page = met.groupBy("__district", "__start", "__end", "__page").agg(F.to_json(F.collect_list("__r")).alias("__records"), F.max("__ends").alias("__ends"))
 
     def write(found: Iterator) -> None:
         to = Landing(landing, url)
         for r in found:
             part, records = Part(r["__district"], r["__start"].isoformat(), r["__end"].isoformat()), json.loads(r["__records"])
             to.put(part, r["__page"] * limit, records)
-            if len(records) == limit and r["__page"] == r["__last"]:
+            if len(records) == limit and r["__ends"]:
                 to.put(part, (r["__page"] + 1) * limit, [])  # what follows a full last page
 
     page.foreachPartition(write)

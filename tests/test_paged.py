@@ -137,3 +137,11 @@ def test_stream_gives_the_same_rows_by_windows_that_are_over(spark, url, tmp_pat
     asked = Counter(Endpoint.asked)
     assert run("2024-07-18") == plain()
     assert all(k[1] >= "2024-05-01" for k in Endpoint.asked - asked)
+
+
+def test_landed_pages_are_read_to_their_end(spark, tmp_path):
+    day, landing = date(2024, 1, 2), f"file://{tmp_path}/landed"
+    rows = spark.createDataFrame([(i, "A", day) for i in range(6)], "id int, d string, day date")
+    paged.land(rows, landing, "http://localhost/x", "d", "day", ["id"], ["A", "B"], date(2024, 1, 1), date(2024, 3, 31), limit=2)
+    got = paged.read_paged(spark, ["id"], url="http://localhost/x", landing=landing, districts=["A", "B"], from_="2024-01-01", to="2024-03-31", limit=2, max_pages=1, offline="true")
+    assert sorted(r["id"] for r in got.collect()) == list("012345")
