@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from harvestry.config import SETTINGS
 from harvestry.functions import strings
+from harvestry.operators import resolve as resolving
 from harvestry.operators.resolve import resolve
 
 
@@ -78,3 +79,21 @@ def test_fuzzy_matches_against_every_pair(spark, review):
         scored = [(-ratio(tidy(r["raw"]), tidy(n)), i) for i, n, d in pool if not known or d == r["district"]] if tidy(r["raw"]) else []
         best = min([s for s in scored if -s[0] >= review], default=None)
         assert (r["entity_id"], round(r["score"], 9)) == ((best[1], round(-best[0], 9)) if best else (None, 0.0)), r
+
+
+def test_texts_one_letter_apart_meet_once_and_only_they(spark):
+    """Against every pair: equal texts, one letter more or less, in the same district or none; not two letters, not another one."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab0") for _ in range(rng.randrange(1, 7)))
+    asked, pool = ({(word(), rng.choice(["p", "q", None])) for _ in range(120)} for _ in range(2))
+    got = resolving._one_off(spark.createDataFrame(sorted(asked, key=str), "a string, of string"), spark.createDataFrame([(b, at, n) for n, (b, at) in enumerate(sorted(pool, key=str))], "b string, at string, e int"))
+    want = [(a, of, b) for a, of in asked for b, at in pool if of == at and abs(len(a) - len(b)) <= 1 and common(a, b) == min(len(a), len(b))]
+    assert sorted(((r["a"], r["of"], r["b"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_copies_of_numbered_names(spark):
+    """The least id of a name's copies counts, near ones of many like it are told apart, and so is the best at two letters' distance."""
+    pool = [(i + 300 * c, f"Supplier#{i:09d}", "pq"[i % 2]) for c in range(4) for i in range(300)]
+    names = [(f"Suplier#{i:09d}", d) for i in range(0, 300, 7) for d in ("pq"[i % 2], None)] + [(f"Suplir#{i:09d}", None) for i in range(0, 300, 50)]
+    got = resolve(spark.createDataFrame(names, "raw string, district string"), spark.createDataFrame(pool, "entity_id int, name string, district string")).collect()
+    assert {(r["raw"], r["district"]): (r["entity_id"], r["method"]) for r in got} == {n: (int(n[0][-9:]), "fuzzy") for n in names} and len(got) == len(names)
