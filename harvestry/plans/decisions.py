@@ -10,7 +10,7 @@ from harvestry.operators import decision, economics, evaluate, feedback
 from harvestry.operators.asof import latest
 from harvestry.operators.features import SERIES
 from harvestry.plans.registry import DAILY, daily, query, r, rounded
-from harvestry.sources import adapters
+from harvestry.sources import adapters, scratch
 
 MANDIS = """fees AS (SELECT * FROM (VALUES ('Maharashtra',3.0,1.05,0.3),('_default',2.5,1.5,0.5)) t(st,commission_pct,cess_pct,other_pct)),
  md AS (SELECT s_suppkey AS mandi_id, CASE WHEN r_name='ASIA' THEN 'Maharashtra' ELSE r_name END AS st, (s_suppkey*7%120+3)::DOUBLE AS distance_km FROM supplier JOIN nation ON s_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey),
@@ -113,7 +113,7 @@ def strategy_grid(spark, sf_dir):
 SELECT lot_id, considered, CASE WHEN z.f=0 THEN 'hold' WHEN z.f=1 THEN 'sell_now' ELSE 'split' END AS action, {r("z.e", 2)} AS e_net, {r("baseline_net", 2)} AS baseline_net, {r("z.e-baseline_net", 2)} AS expected_gain,
  {r("0.5*least(greatest(1-(z.c-z.a)/(2*z.b)/0.3,0),1)+0.2*0.94+0.3*0.79")} AS confidence FROM best JOIN base USING (lot_id)""")
 def recommend(spark, sf_dir):
-    m = _mandis(spark, sf_dir)
+    m = scratch.stored(_mandis(spark, sf_dir), "markets")
     rows = decision.recommend(_lots(spark, sf_dir), m, evaluate.forecast_fan(m.select("mandi_id", "price_now")))
     return rounded(rounded(rows.select("lot_id", "considered", "action", "e_net", "baseline_net", "expected_gain", "confidence"), 2, "e_net", "baseline_net", "expected_gain"), 4, "confidence")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harvestry.config import GRADE_FACTOR, RISK_LAMBDA, STORAGE_COST, STORAGE_FACTOR
-from harvestry.operators import decision
+from harvestry.operators import decision, evaluate
 
 
 def net(price, qty, days, market, grade, storage):
@@ -44,3 +44,27 @@ def test_grid_finds_the_best_pair_of_all_markets(spark):
                 if scores:
                     want[n, part, d] = (pytest.approx(max(scores), abs=1e-6), len(scores))
     assert got == want
+
+
+def test_lots_of_one_kind_are_searched_once(spark, monkeypatch):
+    """Each lot gets what its kind alone gets, with a null grade too; the search sees a row for each kind, whatever the number of lots."""
+    rng = random.Random(11)
+    markets = spark.createDataFrame([(i, float(rng.choice((5, 20, 60))), rng.uniform(900, 1400), 2.5, 1.5, 0.5) for i in range(30)], "mandi_id long, distance_km double, price_now double, commission_pct double, cess_pct double, other_pct double").localCheckpoint()
+    fan = evaluate.forecast_fan(markets.select("mandi_id", "price_now")).localCheckpoint()
+    kinds = [(10.0, "A", "shed", "cautious", False), (95.5, None, "ambient", "balanced", False), (200.0, "C", "cold_store", "aggressive", True)]
+    schema = "lot_id long, qty double, grade string, storage string, risk string, shock_now boolean"
+    lots = lambda n: spark.createDataFrame([(k, *kinds[k % 3]) for k in range(n)], schema).localCheckpoint()
+    seen, options = [], decision.holding_options
+    monkeypatch.setattr(decision, "holding_options", lambda rows, cfg: seen.append(rows.count()) or options(rows, cfg))
+    for search in (decision.recommend, lambda *a: decision.grid(*a, columns=["fraction", "days", "score", "candidates"])):
+        few, many = (search(lots(n), markets, fan) for n in (3, 60))
+        rest = [c for c in few.columns if c != "lot_id"]
+        want = {}
+        for r in few.collect():
+            want.setdefault(r["lot_id"], []).append(tuple(r[c] for c in rest))
+        got = {}
+        for r in many.collect():
+            got.setdefault(r["lot_id"], []).append(tuple(r[c] for c in rest))
+        assert set(got) == set(range(60)) and all(sorted(got[k], key=str) == sorted(want[k % 3], key=str) for k in got)
+    assert rest == ["qty", "grade", "storage", "fraction", "days", "score", "candidates"]
+    assert seen == [3, 3, 3, 3]
