@@ -103,8 +103,8 @@ GRIDS = f"""{LOTS}, fr AS (SELECT * FROM (VALUES (0.0::DOUBLE),(0.25),(0.5),(0.7
 @query(f"WITH {DAILY}, {MANDIS}, {FAN}, {GRIDS} SELECT lot_id, fraction, days, candidates, {r('score', 2)} AS best_score FROM scored")
 def strategy_grid(spark, sf_dir):
     """The best pair of all markets for each lot, share sold now and days."""
-    m = _mandis(spark, sf_dir)
-    found = decision.grid(_lots(spark, sf_dir), m, evaluate.forecast_fan(m.select("mandi_id", "price_now")))
+    m = scratch.stored(_mandis(spark, sf_dir), "markets")
+    found = decision.grid(_lots(spark, sf_dir), m, evaluate.forecast_fan(m.select("mandi_id", "price_now")), columns=["fraction", "days", "candidates", "score"])
     return rounded(found.select("lot_id", "fraction", "days", "candidates", F.col("score").alias("best_score")), 2, "best_score")
 
 
