@@ -80,7 +80,7 @@ KIND = ["qty", "grade", "storage", "risk", "shock_now"]
 
 
 def _kinds(lots: DataFrame) -> DataFrame:
-    """Each kind of lot once, dealt anew: a row is short but its search is long, so tasks must not be merged by their bytes."""
+    """Each kind of lot once, dealt anew: a row is short but its search is long, so tasks of many kinds must not be merged by their bytes. Few kinds are broadcast to the options."""
     return lots.select(*KIND).distinct().repartition(4 * lots.sparkSession.sparkContext.defaultParallelism, *KIND)
 
 
