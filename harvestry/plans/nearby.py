@@ -25,6 +25,6 @@ SELECT mandi_id, obs_date, {r("p")} AS nbr_price_mean_k5, {r("CASE WHEN price_no
 def nearest_price_means(spark, sf_dir):
     """Each market's price beside the mean of the five nearest by road, on all business days."""
     obs = stored_series(spark, sf_dir)
-    own = scratch.stored(X.base(obs, X.grid_of(obs)).select(*X.SERIES, "obs_date", "price_now", "days_since_observation"), "own")
+    own = scratch.stored(X.base(obs, columns=["price_now", "days_since_observation"]), "own")
     rows = nearest_prices(own, nearest(adapters.mandis(spark, sf_dir), 5))
     return rounded(rows.select("mandi_id", "obs_date", "nbr_price_mean_k5", "price_vs_near"))
