@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry.config import SETTINGS, Features
 from harvestry.functions.maths import haversine_km
 from harvestry.operators.distances import FALLBACK_FACTOR, road_distances
+from harvestry.operators.series import Series
 
 EARTH_KM = 6371.0088
+KEYS = ["mandi_id", "commodity_id"]
 #: Sides of cells halve from level to level: 4 radii (all in one cell) down to about 0.8 km.
 LEVELS = 16
 CELL = ["level", "cx", "cy", "cz"]
@@ -64,11 +68,56 @@ def nearest(markets: DataFrame, k: int = 5, cache: DataFrame | None = None) -> D
     return ranked(probes.join(placed, CELL)).select("mandi_id", "other", "road_km", "rank")
 
 
-def nearest_prices(own: DataFrame, near: DataFrame, cfg: Features = SETTINGS.features) -> DataFrame:
-    """commodity_id, mandi_id, obs_date of all rows of own with nbr_price_mean_k5: the mean of the near markets' last prices that are not
-    stale on that day (null: none), and price_vs_near, the log of the own price to it. own: rows of features.base."""
-    fresh = own.where(F.col("days_since_observation") <= cfg.neighbour_staleness_days).select("commodity_id", F.col("mandi_id").alias("other"), "obs_date", F.col("price_now").alias("other_price"))
-    key = ["commodity_id", "mandi_id", "obs_date"]
-    means = near.select("mandi_id", "other").join(fresh, "other").groupBy(*key).agg(F.avg("other_price").alias("nbr_price_mean_k5"))
-    against = F.when((F.col("price_now") > 0) & (F.col("nbr_price_mean_k5") > 0), F.ln(F.col("price_now") / F.col("nbr_price_mean_k5")))
-    return own.select(*key, "price_now").join(means, key, "left").select(*key, "nbr_price_mean_k5", against.alias("price_vs_near"))
+def packed(obs: DataFrame, prepare=None) -> DataFrame:
+    """commodity_id, mandi_id and each series' days and prices packed into one row; obs, prepare: as in features.base."""
+    types = dict(obs.select(*KEYS).dtypes)
+    # The first and the last row also without a price: they bound the days.
+    schema = ", ".join(f"{c} {t}" for c, t in types.items()) + ", days binary, prices binary, known binary"
+
+    def made(key: tuple, rows: pa.Table) -> pa.Table:
+        series = Series(prepare(rows) if prepare else rows, np.zeros(0, np.int64), SETTINGS.features)
+        price, known = series.modal
+        parts = (series.dn.astype(np.int32), price, known)
+        return pa.table([*(pa.repeat(k, 1) for k in key), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], [*KEYS, "days", "prices", "known"])
+
+    return obs.groupBy(*KEYS).applyInArrow(made, schema)
+
+
+def nearest_prices(series: DataFrame, near: DataFrame, cfg: Features = SETTINGS.features, each=None) -> DataFrame:
+    """commodity_id, mandi_id, obs_date of all business days of each series with nbr_price_mean_k5: the mean of the near markets' last
+    prices that are not stale on that day (null: none), and price_vs_near, the log of the own price to it. series: rows of packed().
+    each: as in features.base.
+
+    A near market's series travels as one row, and only its reports, not a price for each day.
+    """
+    types = dict(series.select(*KEYS).dtypes)
+    schema = ", ".join(f"{c} {t}" for c, t in types.items()) + ", obs_date date, nbr_price_mean_k5 double, price_vs_near double"
+
+    def unpacked(rows: pa.Table, i: int, of: str = "") -> Series:
+        dn, price, known = (np.frombuffer(rows.column(of + c)[i].as_py(), t) for c, t in (("days", np.int32), ("prices", np.float64), ("known", bool)))
+        return Series(pa.table({"obs_date": pa.array(dn).cast(pa.date32()), "modal_price": pa.array(price, mask=~known)}), None, cfg)
+
+    def made(key: tuple, own: pa.Table, others: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in zip((*KEYS, "obs_date", "nbr_price_mean_k5", "price_vs_near"), (*(k.type for k in key), pa.date32(), pa.float64(), pa.float64()), strict=True)})
+        market = unpacked(own, 0)
+        days, now, known = market.days, *market.last("modal")
+        total, n = np.zeros(len(days)), np.zeros(len(days))
+        for i in range(others.num_rows):
+            other = unpacked(others, i, "__")
+            # Its price is seen on its own business days only, from its first row to its last.
+            within = (days >= other.dn[0]) & (days <= other.dn[-1]) if len(other.dn) else np.zeros(len(days), bool)
+            other.days = days
+            age, ok = other.value("days_since_observation")
+            price, priced = other.last("modal")
+            fresh = within & ok & (age <= cfg.neighbour_staleness_days) & priced
+            total, n = total + np.where(fresh, price, 0.0), n + fresh
+        mean, met = total / np.maximum(n, 1), n > 0
+        both = met & known & (now > 0) & (mean > 0)
+        ratio = np.log(np.where(both, now, 1.0) / np.where(both, mean, 1.0))
+        values = [pa.array(each(x) if each else x, mask=~ok) for x, ok in ((mean, met), (ratio, both))]
+        return pa.table([*(pa.repeat(k, len(days)) for k in key), pa.array(days.astype(np.int32)).cast(pa.date32()), *values], [*KEYS, "obs_date", "nbr_price_mean_k5", "price_vs_near"])
+
+    sent = near.select(F.col("mandi_id").alias("to"), F.col("other").alias("mandi_id")).join(series, "mandi_id")
+    sent = sent.select(F.col("to").alias("__mandi_id"), F.col("commodity_id").alias("__commodity_id"), *(F.col(c).alias(f"__{c}") for c in ("days", "prices", "known")))
+    return series.groupBy(*KEYS).cogroup(sent.groupBy(*(f"__{c}" for c in KEYS))).applyInArrow(made, schema)

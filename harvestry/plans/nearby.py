@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from harvestry.operators import features as X
-from harvestry.operators.nearest import nearest, nearest_prices
-from harvestry.plans.features import BASE, stored_series
-from harvestry.plans.registry import query, r, rounded
+from harvestry.operators import cleaning
+from harvestry.operators.nearest import nearest, nearest_prices, packed
+from harvestry.plans.features import BASE
+from harvestry.plans.registry import query, r, rounded_values
 from harvestry.sources import adapters, scratch
 
 # At scale 0.01 the SQL may look at every pair of markets.
@@ -24,7 +24,7 @@ def nearest_markets(spark, sf_dir):
 SELECT mandi_id, obs_date, {r("p")} AS nbr_price_mean_k5, {r("CASE WHEN price_now>0 AND p>0 THEN ln(price_now/p) END")} AS price_vs_near FROM own LEFT JOIN nm USING (mandi_id, obs_date)""")
 def nearest_price_means(spark, sf_dir):
     """Each market's price beside the mean of the five nearest by road, on all business days."""
-    obs = stored_series(spark, sf_dir)
-    own = scratch.stored(X.base(obs, columns=["price_now", "days_since_observation"]), "own")
-    rows = nearest_prices(own, nearest(adapters.mandis(spark, sf_dir), 5))
-    return rounded(rows.select("mandi_id", "obs_date", "nbr_price_mean_k5", "price_vs_near"))
+    daily = cleaning.collapsed_series(adapters.raw_observations(spark, sf_dir))
+    series = scratch.stored(packed(daily, cleaning.kept_rows), "series")
+    rows = nearest_prices(series, nearest(adapters.mandis(spark, sf_dir), 5), each=rounded_values)
+    return rows.select("mandi_id", "obs_date", "nbr_price_mean_k5", "price_vs_near")

@@ -1,11 +1,12 @@
 """Nearest markets against every pair: clusters, one place, poles, the date line, lacking coordinates, known roads."""
 
+import datetime as dt
 import math
 import random
 
 import pytest
 
-from harvestry.operators.nearest import nearest
+from harvestry.operators.nearest import nearest, nearest_prices, packed
 from harvestry.plans import names
 
 SCHEMA = "mandi_id int, lat double, lon double"
@@ -62,3 +63,24 @@ def test_all_pairs_are_dealt_by_blocks(spark):
     rows = names.haversine_pairs(spark, "/root/testdata/sf0.001")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_means_of_near_markets_against_each_day(spark):
+    rng, first = random.Random(8), dt.date(2024, 1, 1)
+    rows = {(m, i): rng.uniform(900, 1100) for m in range(1, 7) for i in range(m * 3, 60) if rng.random() < 0.4}
+    obs = spark.createDataFrame([(1, m, first + dt.timedelta(days=i), p, p, p, 1.0, False) for (m, i), p in rows.items()], "commodity_id int, mandi_id int, obs_date date, modal_price double, min_price double, max_price double, arrival_qtl double, is_imputed boolean")
+    near = spark.createDataFrame([(m, o) for m in range(1, 6) for o in range(1, 7) if o != m and (m + o) % 3], "mandi_id int, other int")
+    made = nearest_prices(packed(obs), near)
+    assert "obs_date" not in made._jdf.queryExecution().analyzed().toString().split("Join")[1].split("\n")[0]
+    pairs, seen = [(r["mandi_id"], r["other"]) for r in near.collect()], 0
+    span = {m: [i for k, i in rows if k == m] for m in range(1, 7)}
+    for r in made.collect():
+        m, day, found = r["mandi_id"], (r["obs_date"] - first).days, []
+        last = lambda k: max((i for i in span[k] if i <= day), default=None)  # noqa: E731, B023
+        for o in (o for k, o in pairs if k == m):
+            if min(span[o]) <= day <= max(span[o]) and day - last(o) <= 7:
+                found.append(rows[o, last(o)])
+        assert r["nbr_price_mean_k5"] == (pytest.approx(sum(found) / len(found)) if found else None)
+        assert r["price_vs_near"] == (pytest.approx(math.log(rows[m, last(m)] * len(found) / sum(found))) if found else None)
+        seen += 1
+    assert seen == sum((first + dt.timedelta(days=i)).weekday() < 5 for m in range(1, 7) for i in range(min(span[m]), max(span[m]) + 1))
